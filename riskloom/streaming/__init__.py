@@ -1,0 +1,5 @@
+"""Deliberately empty: the batch workload has no streams, watermarks or state.
+
+Fresh data is added by rebuilding a date range with look-back pruning, see
+``riskloom.operators.priors.add_priors(since=...)``.
+"""
