@@ -103,16 +103,12 @@ def normalize_key(df: DataFrame) -> DataFrame:
     names = df.columns
     if KEY not in names and "geoid" not in names:
         raise ValueError("no GEOID/geoid column")
-    source = KEY if KEY in names else "geoid"
     if KEY in names and "geoid" in names:
-        # Spark resolves names without case: the alias must go before any lookup.
+        # Spark resolves names without case, so the alias has to go first.
         df = df.toDF(*["__alias" if n == "geoid" else n for n in names]).drop("__alias")
-    data_type = df.schema[source].dataType
-    key = quoted(source)
-    if isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)):
+    elif KEY not in names:
+        df = df.withColumnRenamed("geoid", KEY)
+    key = F.col(KEY)
+    if isinstance(df.schema[KEY].dataType, T.FractionalType):
         key = key.try_cast("bigint")
-    if source != KEY:
-        df = df.withColumnRenamed(source, KEY)
-        key = quoted(KEY) if not isinstance(data_type, (T.DoubleType, T.FloatType, T.DecimalType)) \
-            else quoted(KEY).try_cast("bigint")
     return df.withColumn(KEY, key.cast("string")).dropna(subset=[KEY])
