@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.timing import DAY, instant_literal
-from riskloom.schema import COUNT, KEY, LABEL, label, number_or, require
+from riskloom.schema import COUNT, KEY, LABEL, label, number_or, quoted, require
 
 # Window lengths in days by column suffix.
 ROLLUP_WINDOWS = {"28d": 28, "180d": 180}
@@ -61,9 +61,10 @@ def add_priors(
     df = df.drop(*[f"prior_{kind}_{s}" for kind in ("cnt", "p") for s in windows])
     y = number_or(F.col(LABEL), 0)
     if mode == "shifted_hours":
-        out = df.select("*", *_shifted(y, windows, group, time_col))
+        out = _shifted(df.withColumn("__y", y), windows, group, time_col).drop("__y")
     elif unique_cells:
-        out = df.select("*", *_closed_left(y, F.lit(1), windows, group, time_col))
+        ready = df.withColumns({"__y": y, "__n": F.lit(1)})
+        out = _closed_left(ready, windows, group, time_col).drop("__y", "__n")
     else:
         cells = (
             df.select(*group, time_col, y.alias("__y"))
@@ -71,32 +72,32 @@ def add_priors(
             .groupBy(*group, time_col)
             .agg(F.sum("__y").alias("__y"), F.count("*").alias("__n"))
         )
-        priors = cells.select(
-            *group, time_col,
-            *_closed_left(F.col("__y"), F.col("__n"), windows, group, time_col),
-        )
-        out = df.join(priors, [*group, time_col]).select(*df.columns, *priors.columns[len(group) + 1:])
+        priors = _closed_left(cells, windows, group, time_col).drop("__y", "__n")
+        added = [F.col(c) for c in priors.columns if c.startswith("prior_")]
+        out = df.join(priors, [*group, time_col]).select(*[quoted(c) for c in df.columns], *added)
     return out if since is None else out.filter(F.col(time_col) >= instant_literal(since))
 
 
-def _closed_left(y, n, windows, group, time_col):
+def _closed_left(df, windows, group, time_col):
+    """Hits and rows of each frame, once per window, then count and rate from them."""
     ordered = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(time_col)))
-    out = []
+    framed, rates = {}, {}
     for suffix, days in windows.items():
         frame = ordered.rangeBetween(-days * DAY * MICROS, -1)
-        hits = F.sum(y).over(frame)
-        seen = F.sum(n).over(frame)
-        out.append(F.coalesce(hits, F.lit(0.0)).alias(f"prior_cnt_{suffix}"))
-        out.append(F.coalesce(F.try_divide(hits, seen.cast("double")), F.lit(0.0)).alias(f"prior_p_{suffix}"))
-    return out
+        framed[f"__hits_{suffix}"] = F.sum("__y").over(frame)
+        framed[f"__seen_{suffix}"] = F.sum("__n").over(frame)
+        hits, seen = F.col(f"__hits_{suffix}"), F.col(f"__seen_{suffix}").cast("double")
+        rates[f"prior_cnt_{suffix}"] = F.coalesce(hits, F.lit(0.0))
+        rates[f"prior_p_{suffix}"] = F.coalesce(F.try_divide(hits, seen), F.lit(0.0))
+    return df.withColumns(framed).withColumns(rates).drop(*framed)
 
 
-def _shifted(y, windows, group, time_col):
+def _shifted(df, windows, group, time_col):
     ordered = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(time_col)))
-    out = []
+    own, counts, rates = {}, {}, {}
     for suffix, days in windows.items():
-        own = F.sum(y).over(ordered.rangeBetween(-(days * DAY * MICROS - 1), 0))
-        previous = F.lag(own, 1, 0.0).over(ordered)
-        out.append(previous.alias(f"prior_cnt_{suffix}"))
-        out.append((previous / F.lit(days * 24.0)).alias(f"prior_p_{suffix}"))
-    return out
+        # Both bounds are inclusive: one microsecond less makes the far end open.
+        own[f"__own_{suffix}"] = F.sum("__y").over(ordered.rangeBetween(-(days * DAY * MICROS - 1), 0))
+        counts[f"prior_cnt_{suffix}"] = F.lag(f"__own_{suffix}", 1, 0.0).over(ordered)
+        rates[f"prior_p_{suffix}"] = F.col(f"prior_cnt_{suffix}") / F.lit(days * 24.0)
+    return df.withColumns(own).withColumns(counts).withColumns(rates).drop(*own)
