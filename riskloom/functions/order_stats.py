@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.schema import quoted, to_double
-from riskloom.session import reliable_checkpoint
+from riskloom.session import materialize
 
 GATHER_LIMIT = 200_000
 SKETCH_ACCURACY = 10_000
@@ -150,7 +150,7 @@ def nth_smallest(df: DataFrame, column: str, n: int, size: int):
     if size <= GATHER_LIMIT:
         ranked = values.withColumn("r", F.row_number().over(Window.orderBy("v")))
         return ranked.filter(F.col("r") == n).first()["v"]
-    numbered = reliable_checkpoint(
+    numbered = materialize(
         values.repartitionByRange("v").sortWithinPartitions("v")
         .withColumn("id", F.monotonically_increasing_id())
     )
@@ -167,11 +167,21 @@ def nth_smallest(df: DataFrame, column: str, n: int, size: int):
 HISTOGRAM_BITS = 16
 
 
-def nth_smallest_long(df: DataFrame, key: Column, n: int) -> int:
+@dataclass(frozen=True)
+class Place:
+    """A value, how many of its equals are needed to reach the rank, and how many exist."""
+
+    value: int
+    needed: int
+    equals: int
+
+
+def nth_smallest_long(df: DataFrame, key: Column, n: int) -> Place:
     """The ``n``-th smallest (from 1) of a 64-bit integer key, by radix histograms.
 
     Each of at most four passes counts rows by the next 16 bits inside the
-    range found so far: no sort, no sample, and at most 65,536 groups.
+    range found so far: no sort, no sample, and at most 65,536 groups.  A range
+    with a single distinct value ends the search early.
     """
     values = df.select(key.alias("v"))
     low, high = -(1 << 63), (1 << 63) - 1
@@ -179,16 +189,15 @@ def nth_smallest_long(df: DataFrame, key: Column, n: int) -> int:
         cell = F.shiftright("v", shift)
         counts = (
             values.filter(F.col("v").between(low, high))
-            .groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+            .groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         )
         ends = counts.withColumn("end", F.sum("n").over(Window.orderBy("cell")))
         home = ends.filter(F.col("end") >= n).orderBy("end").first()
         n -= home["end"] - home["n"]
-        low = home["cell"] << shift
-        high = low + (1 << shift) - 1
-        if home["n"] == 1:
-            return values.filter(F.col("v").between(low, high)).first()["v"]
-    return low
+        low, high = home["lo"], home["hi"]
+        if low == high:
+            break
+    return Place(low, n, home["n"])
 
 
 def score_band(score: Column) -> Column:

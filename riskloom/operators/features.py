@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.order_stats import exact_quantiles, nth_smallest, nth_smallest_long
+from riskloom.functions.order_stats import Place, exact_quantiles, nth_smallest, nth_smallest_long
+from riskloom.functions.timing import DAY
 from riskloom.schema import (
     CATEGORICAL, KEY, LABEL, LEAK_PREFIXES, LEAK_SUBSTRINGS, NEVER_FEATURES, number_or, numeric_columns,
     quoted, require, to_double,
@@ -134,27 +135,40 @@ class TimeCut:
 def time_cut(df: DataFrame, share: float = 0.8, time_col: str = "t0", key: str = KEY) -> TimeCut:
     """Where the first ``int(share * n)`` rows by (time, key) end.
 
-    Rows are counted per time bucket, so nothing is sorted globally; only the
-    keys of the single bucket that straddles the cut are ranked.  The result
-    is two literals: both sides of the split are plain filters that reach the
-    scan.  Needs (key, time) to be unique and not null.
+    Rows are counted per calendar day, so nothing is sorted globally; only the
+    day, then the single time and its keys that straddle the cut are looked
+    into.  The result is two literals: both sides of the split are plain
+    filters that reach the scan.  Needs (key, time) to be unique and not null.
     """
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    per_time = df.groupBy(micros.alias("t")).agg(F.count("*").alias("n"))
-    # One row per time bucket is left here: a few thousand per decade of days.
-    ends = per_time.withColumn("end", F.sum("n").over(Window.orderBy("t")))
-    total = F.sum("n").over(Window.partitionBy())
-    rows = F.floor(total * F.lit(float(share)))
+    day = F.floor(micros / F.lit(DAY * 1_000_000))
+    per_day = df.groupBy(day.alias("day")).agg(
+        F.count("*").alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi")
+    )
+    # At most one row per calendar day is left for these windows.
+    ends = per_day.withColumn("end", F.sum("n").over(Window.orderBy("day")))
+    rows = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(float(share)))
     home = (
         ends.withColumn("rows", rows)
-        .filter((F.col("end") >= F.col("rows")) & (F.col("rows") > 0)).orderBy("t").first()
+        .filter((F.col("end") >= F.col("rows")) & (F.col("rows") > 0)).orderBy("day").first()
     )
     if home is None:
         return TimeCut(0)
-    inside = home["rows"] - (home["end"] - home["n"])
-    time = F.timestamp_micros(F.lit(home["t"])).cast(df.schema[time_col].dataType)
+    needed = home["rows"] - (home["end"] - home["n"])
+
+    def instant(value: int) -> Column:
+        return F.timestamp_micros(F.lit(value)).cast(df.schema[time_col].dataType)
+
+    place = Place(home["lo"], needed, home["n"])
+    if home["lo"] != home["hi"]:
+        of_day = df.filter(F.col(time_col).between(instant(home["lo"]), instant(home["hi"])))
+        place = nth_smallest_long(of_day, micros, needed)
+    time = instant(place.value)
     bucket = df.filter(F.col(time_col) == time)
-    last = bucket.agg(F.max(key)).first()[0] if inside == home["n"] else nth_smallest(bucket, key, inside, home["n"])
+    if place.needed == place.equals:
+        last = bucket.agg(F.max(key)).first()[0]
+    else:
+        last = nth_smallest(bucket, key, place.needed, place.equals)
     return TimeCut(home["rows"], time, last)
 
 
@@ -192,17 +206,16 @@ def undersample(
     if keep == 0:
         return train.filter(positive)
     negatives = train.filter(negative)
-    limit = nth_smallest_long(negatives, order, keep)
-    at_limit = negatives.agg(F.count_if(order < limit).alias("under"), F.count_if(order == limit).alias("at")).first()
-    spare = keep - at_limit["under"]
-    if spare == at_limit["at"]:
+    place = nth_smallest_long(negatives, order, keep)
+    limit = F.lit(place.value)
+    if place.needed == place.equals:
         return train.filter(positive | (negative & (order <= limit)))
     # Equal hashes straddle the cut: rank only those few rows by their cell.
     ties = negatives.filter(order == limit).withColumn(
         "__r", F.row_number().over(Window.orderBy(*[F.col(c) for c in key]))
     )
     return train.filter(positive | (negative & (order < limit))).unionByName(
-        ties.filter(F.col("__r") <= spare).drop("__r")
+        ties.filter(F.col("__r") <= place.needed).drop("__r")
     )
 
 

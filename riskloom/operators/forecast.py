@@ -13,9 +13,9 @@ from riskloom.functions.timing import add_calendar, auto_freq, future_starts, ho
 from riskloom.operators.features import fill_missing, median_values
 from riskloom.schema import (
     COUNT, FORECAST_FEATURES, KEY, PRIOR_FAMILIES, TIER_FALLBACK, TIER_LABELS, int_or, numeric_columns, quoted,
-    require,
+    require, to_double,
 )
-from riskloom.session import reliable_checkpoint
+from riskloom.session import materialize
 
 GROUP_LIMIT = 1_000  # Spark prunes ranked windows before the shuffle up to this rank
 SALTS = 256
@@ -72,8 +72,12 @@ def one_area(df: DataFrame, area: str) -> DataFrame:
 
 
 def fill_with_medians(df: DataFrame) -> DataFrame:
-    """Missing numbers become their column's exact median."""
-    return fill_missing(df, median_values(df, numeric_columns(df)))
+    """Missing numbers become their column's exact median; complete columns cost no search."""
+    names = numeric_columns(df)
+    if not names:
+        return df
+    missing = df.agg(*[(F.count("*") - F.count(to_double(quoted(c)))).alias(c) for c in names]).first()
+    return fill_missing(df, median_values(df, [c for c in names if missing[c]]))
 
 
 def forecast_frame(
@@ -91,14 +95,14 @@ def forecast_frame(
     place, without a join.  Medians of the snapshot equal those of the frame,
     where every area repeats equally often.
     """
+    if freq != "1M" and hours <= 0:
+        raise ValueError("horizon too short: no future bucket")
     if area is not None:
         grid = one_area(grid, area)
-    snapshot = reliable_checkpoint(last_snapshot(grid, carried_columns(grid.columns)))
+    snapshot = materialize(last_snapshot(grid, carried_columns(grid.columns)))
     filled = fill_with_medians(snapshot)
     starts = future_starts(F.lit(freq), F.lit(float(hours)), as_of, align_to_epoch_week)
     rows = filled.withColumn("t0", F.explode(starts))
-    if rows.isEmpty():
-        raise ValueError("horizon too short: no future bucket")
     rows = add_calendar(rows, "t0", hour_start="zero")
     return rows.withColumns(
         {c: int_or(F.col(c), -1 if c == "year" else 0, t) for c, t in

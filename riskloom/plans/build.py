@@ -22,7 +22,7 @@ from riskloom.operators.rollup import rollup
 from riskloom.schema import (
     COUNT, FREQUENCIES, HOURLY_PROTECTED, KEY, LABEL, SIDE_FEATURES, label, normalize_key, require,
 )
-from riskloom.session import reliable_checkpoint
+from riskloom.session import materialize
 from riskloom.sources.readers import ensure_some_time, parsed_time, resolve_event_time
 
 
@@ -134,7 +134,7 @@ def evaluate(scored: DataFrame, y: str = LABEL, p: str = "prob") -> DataFrame:
     The scores are reduced to one row per distinct value once; the measures
     are one-row results that enter the metrics row as literals.
     """
-    counts = reliable_checkpoint(score_counts(scored, y, p))
+    counts = materialize(score_counts(scored, y, p))
     best = best_f1(counts).first()
     facts = average_precision(counts).first().asDict()
     facts["pr_auc"] = facts.pop("average_precision")
@@ -173,7 +173,7 @@ def train(
         n_train = sampled.count()
     finally:
         train_part.unpersist()
-    scored = reliable_checkpoint(
+    scored = materialize(
         model.score(test_part.select(*[F.col(f"`{c}`") for c in columns])).select(KEY, "t0", LABEL, "prob")
     )
     facts = {
@@ -230,4 +230,4 @@ def forecast(
     Scores are written once: the tier limits and the ranking both read them.
     """
     frame = forecast_frame(grid, freq, hours, as_of, area)
-    return ranked_forecast(reliable_checkpoint(score_frame(model, frame)), k, area)
+    return ranked_forecast(materialize(score_frame(model, frame)), k, area)

@@ -85,7 +85,11 @@ def segment_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def future_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """A 30-day forecast scored by the last prior rate, damped over the week."""
+    """A 30-day forecast scored by the last prior rate, damped over the week.
+
+    Rests on the written snapshot, so tier limits and ranking do not go back
+    to the incidents.
+    """
     frame = forecast_frame(standard_daily(spark, folder), "1D", 720.0, DAY_RUN)
     prob = (F.col("prior_p_180d") / (1 + F.col("day_of_week").cast("int"))).cast("float")
     return frame.select(KEY, "t0", prob.alias("prob"))

@@ -25,7 +25,7 @@ from riskloom.plans.fixtures import (
 )
 from riskloom.plans.sql import SQL
 from riskloom.schema import COUNT, KEY, LABEL, label, quoted
-from riskloom.session import reliable_checkpoint, use_utc
+from riskloom.session import materialize, use_utc
 from riskloom.sources.readers import read_columns, resolve_event_time, schema_report
 from riskloom.sources.writers import export_rows
 
@@ -347,7 +347,7 @@ def q_last_snapshot(spark, folder):
 @query("median_fill")
 def q_median_fill(spark, folder):
     cells = daily_grid(spark, folder, ("o_totalprice",), segment=True)
-    snapshot = reliable_checkpoint(forecast.last_snapshot(cells, [COUNT, "o_totalprice"]))
+    snapshot = materialize(forecast.last_snapshot(cells, [COUNT, "o_totalprice"]))
     return with_rounded(forecast.fill_with_medians(snapshot), "o_totalprice")
 
 
@@ -406,7 +406,8 @@ def q_align_features(spark, folder):
 
 
 def _train_part(spark, folder):
-    grid = add_calendar(daily_grid(spark, folder, ("o_totalprice",)), "t0", hour_start="zero")
+    # Learning steps pass over the grid several times: write it once.
+    grid = materialize(add_calendar(daily_grid(spark, folder, ("o_totalprice",)), "t0", hour_start="zero"))
     return features.time_split(grid)[0]
 
 
@@ -418,7 +419,7 @@ def q_valid_columns(spark, folder):
 
 @query("time_split")
 def q_time_split(spark, folder):
-    grid = daily_grid(spark, folder).select(KEY, "t0")
+    grid = materialize(daily_grid(spark, folder).select(KEY, "t0"))
     return grid.withColumn("is_train", features.time_cut(grid, 0.8).is_train())
 
 
@@ -494,7 +495,7 @@ def q_class_report(spark, folder):
 @query("forecast")
 def q_forecast(spark, folder):
     """Small boosted trees on the nation grid, then a ranked 30-day forecast."""
-    grid = reliable_checkpoint(standard_daily(spark, folder, ("o_totalprice",)))
+    grid = materialize(standard_daily(spark, folder, ("o_totalprice",)))
     train, _, chosen = build.training_parts(grid)
     weight = counts.class_balance(train).first()["scale_pos_weight"]
     model = fit_single(train, chosen, weight, maxIter=5, maxDepth=3, stepSize=0.3)
@@ -504,7 +505,7 @@ def q_forecast(spark, folder):
 @query("model_metrics")
 def q_model_metrics(spark, folder):
     """Test metrics of small boosted trees on the segment panel."""
-    panel = reliable_checkpoint(segment_panel(spark, folder))
+    panel = materialize(segment_panel(spark, folder))
     sizes = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}
     return build.train(panel, "1D", undersample_ratio=0.5, sizes=sizes)[1]
 

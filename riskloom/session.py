@@ -1,8 +1,9 @@
-"""Session settings and reliable checkpoints."""
+"""Session settings and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,11 +50,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from there.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and continue from it.
 
     Used where a result is read several times: later passes see the very same
-    rows, and a lost executor costs nothing but a re-read.
+    rows, read only the columns and row groups they need, and a lost executor
+    costs nothing but a re-read.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

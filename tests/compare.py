@@ -63,7 +63,8 @@ def difference(spark, con, name: str, folder: str) -> str | None:
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     session = build_session(
-        "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g"
+        "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
