@@ -38,10 +38,10 @@ class _Rank:
     def wide(self) -> bool:
         return self.answer is None and self.inside > GATHER_LIMIT
 
-    def shares(self) -> list[Column]:
+    def shares(self) -> list[float]:
         """Shares of the current interval between which the rank must lie."""
         at = (self.rank - self.below) / self.inside
-        return [F.lit(max(0.0, at - self.slack)), F.lit(min(1.0, at + self.slack))]
+        return [max(0.0, at - self.slack), min(1.0, at + self.slack)]
 
     def value(self) -> Column:
         v = quoted(self.column)
@@ -97,7 +97,7 @@ def _narrow(df: DataFrame, wide: list[_Rank]) -> None:
     an interval border, and borders are counted apart from what lies between.
     """
     bounds = df.agg(
-        *[F.percentile_approx(r.value(), r.shares(), F.lit(SKETCH_ACCURACY)).alias(str(i)) for i, r in enumerate(wide)]
+        *[F.percentile_approx(r.value(), r.shares(), SKETCH_ACCURACY).alias(str(i)) for i, r in enumerate(wide)]
     ).first()
     tests = []
     for i, r in enumerate(wide):
