@@ -78,26 +78,38 @@ def add_priors(
     return out if since is None else out.filter(F.col(time_col) >= instant_literal(since))
 
 
+def _until(values, ordered, microseconds):
+    """Total of all rows up to ``microseconds`` relative to the own row.
+
+    A frame without lower bound only grows, so each row is added once.  The
+    total between two times is the difference of two of these: exact for
+    whole numbers, and its cost does not depend on the window's length.
+    """
+    frame = ordered.rangeBetween(Window.unboundedPreceding, microseconds)
+    return F.coalesce(F.sum(values).over(frame), F.lit(0))
+
+
 def _closed_left(df, windows, group, time_col):
-    """Hits and rows of each frame, once per window, then count and rate from them."""
     ordered = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(time_col)))
-    framed, rates = {}, {}
+    totals = {f"__{v}_now": _until(f"__{v}", ordered, -1) for v in ("y", "n")}
+    results = {}
     for suffix, days in windows.items():
-        frame = ordered.rangeBetween(-days * DAY * MICROS, -1)
-        framed[f"__hits_{suffix}"] = F.sum("__y").over(frame)
-        framed[f"__seen_{suffix}"] = F.sum("__n").over(frame)
-        hits, seen = F.col(f"__hits_{suffix}"), F.col(f"__seen_{suffix}").cast("double")
-        rates[f"prior_cnt_{suffix}"] = F.coalesce(hits, F.lit(0.0))
-        rates[f"prior_p_{suffix}"] = F.coalesce(F.try_divide(hits, seen), F.lit(0.0))
-    return df.withColumns(framed).withColumns(rates).drop(*framed)
+        older = -days * DAY * MICROS - 1
+        totals |= {f"__{v}_{suffix}": _until(f"__{v}", ordered, older) for v in ("y", "n")}
+        hits = F.col("__y_now") - F.col(f"__y_{suffix}")
+        seen = F.col("__n_now") - F.col(f"__n_{suffix}")
+        results[f"prior_cnt_{suffix}"] = hits
+        results[f"prior_p_{suffix}"] = F.when(seen > 0, hits / seen).otherwise(0.0)
+    return df.withColumns(totals).withColumns(results).drop(*totals)
 
 
 def _shifted(df, windows, group, time_col):
     ordered = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(time_col)))
+    totals = {"__y_now": _until("__y", ordered, 0)}
     own, counts, rates = {}, {}, {}
     for suffix, days in windows.items():
-        # Both bounds are inclusive: one microsecond less makes the far end open.
-        own[f"__own_{suffix}"] = F.sum("__y").over(ordered.rangeBetween(-(days * DAY * MICROS - 1), 0))
+        totals[f"__y_{suffix}"] = _until("__y", ordered, -days * DAY * MICROS)
+        own[f"__own_{suffix}"] = F.col("__y_now") - F.col(f"__y_{suffix}")
         counts[f"prior_cnt_{suffix}"] = F.lag(f"__own_{suffix}", 1, 0.0).over(ordered)
         rates[f"prior_p_{suffix}"] = F.col(f"prior_cnt_{suffix}") / F.lit(days * 24.0)
-    return df.withColumns(own).withColumns(counts).withColumns(rates).drop(*own)
+    return df.withColumns(totals).withColumns(own).withColumns(counts).withColumns(rates).drop(*totals, *own)
