@@ -11,6 +11,7 @@ from riskloom.functions.timing import instant_literal
 from riskloom.schema import COUNT, KEY, LABEL
 from riskloom.session import shuffle_width
 
+STEP_UNIT = {"dt": "hour", "t0": "day"}
 STEP_TEXT = {"dt": "INTERVAL 1 HOUR", "t0": "INTERVAL 1 DAY"}
 
 
@@ -28,6 +29,7 @@ def dense_grid(
     time_col: str,
     span: tuple[datetime, datetime] | tuple | None = None,
     zero_filled: tuple[str, ...] = (COUNT, LABEL),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Fill the gaps between observed cells; one output row per area and step.
 
@@ -40,17 +42,21 @@ def dense_grid(
     times its share of areas.
 
     ``zero_filled`` columns are 0 on empty cells, all others NULL.  ``span``
-    gives first and last step, as datetimes or Columns; without it they come
-    from ``cells``.
+    gives first and last step: two Columns that enclose all cells, or two
+    datetimes, outside of which cells are left out.  Without it the span comes
+    from ``cells``.  ``partitions`` should follow the dense size, areas times
+    steps; the default is the session's shuffle width.
     """
     step = F.expr(STEP_TEXT[time_col])
+    t = F.col(time_col)
     lo, hi = span if span is not None else time_span(cells, time_col)
-    lo, hi = (instant_literal(b) if isinstance(b, datetime) else b for b in (lo, hi))
+    if isinstance(lo, datetime):
+        lo, hi = (F.date_trunc(STEP_UNIT[time_col], instant_literal(b)) for b in (lo, hi))
+        cells = cells.filter(t.between(lo, hi))
     by_area = Window.partitionBy(KEY).orderBy(time_col)
-    t = F.col(time_col)
     # A fixed partition count keeps AQE from merging partitions by their sparse
     # size just before they grow to the dense size.
-    placed = cells.repartition(shuffle_width(cells.sparkSession), KEY)
+    placed = cells.repartition(partitions or shuffle_width(cells.sparkSession), KEY)
     runs = placed.withColumns(
         {"__prev": F.lag(time_col).over(by_area), "__next": F.lead(time_col).over(by_area)}
     ).withColumns(

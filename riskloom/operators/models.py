@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.features import Features, median_values, mode_values
 from riskloom.schema import KEY, LABEL
+from riskloom.session import checkpoint_root
 from riskloom.sources.writers import first_existing
 
 WEIGHT = "__weight"
@@ -136,6 +137,7 @@ def load_best(spark: SparkSession, root: str, freq: str) -> RiskModel:
 
 def fit_single(train: DataFrame, features: Features, positive_weight: float, y: str = LABEL, **size) -> RiskModel:
     """Boosted trees with weighted positives."""
+    checkpoint_root(train.sparkSession)  # boosting cuts its lineage there every ten rounds
     weighted = with_weight(train, positive_weight, y)
     stages = preparation(features, train) + [boosted_trees(y, **size)]
     return RiskModel(features.all, Pipeline(stages=stages).fit(weighted))
@@ -188,6 +190,7 @@ def fit_stacked(
     same on a retry.  Each base is fitted once per fold for the held-out
     scores and once on everything for use at scoring time.
     """
+    checkpoint_root(train.sparkSession)
     prepared_by = Pipeline(stages=preparation(features, train, scale=True)).fit(train)
     fold = F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(folds)).alias("__fold")
     prepared = prepared_by.transform(train).select("features", F.col(y).cast("double").alias(y), fold).persist()

@@ -35,7 +35,7 @@ def add_priors(
     of the group, first row 0; the rate divides by the hours of the window.
 
     All windows share one partitioning and order, hence one exchange and one
-    Window node, or none when ``df`` is already laid out by area.
+    Window node; no exchange when ``df`` is already laid out by area.
 
     ``unique_cells`` says that (area, time) is unique, as in every grid built
     here.  Otherwise rows are first added up per (area, keys, time), so that

@@ -8,9 +8,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.timing import add_calendar, anchored_bucket, local_time, month_start, week_start
+from riskloom.functions.timing import add_calendar, anchored_bucket, month_start, week_start
 from riskloom.operators.counts import TIME_COLUMN, aggregate_cells, cell_time, class_balance
-from riskloom.operators.evaluation import average_precision, best_f1, confusion, score_counts
+from riskloom.operators.evaluation import (
+    average_precision, best_f1, class_report, confusion, pr_curve, score_counts,
+)
 from riskloom.operators.features import (
     Features, align_features, select_features, time_split, undersample, valid_columns,
 )
@@ -24,6 +26,7 @@ from riskloom.schema import (
 )
 from riskloom.session import materialize
 from riskloom.sources.readers import ensure_some_time, parsed_time, resolve_event_time
+from riskloom.sources.writers import write_metrics, write_pr_curve, write_report
 
 
 def labelled_panel(
@@ -34,6 +37,7 @@ def labelled_panel(
     span: tuple | None = None,
     windows: dict[str, int] = PANEL_WINDOWS,
     check: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Raw incidents to a dense, labelled grid with side features and priors.
 
@@ -46,7 +50,7 @@ def labelled_panel(
     if span is None:
         span = time_span(raw.select(cell_time(granularity).alias(time_col)), time_col)
     cells = aggregate_cells(raw, granularity, side_cols)
-    grid = dense_grid(cells, time_col, span, zero_filled=(COUNT,)).withColumn(LABEL, label(F.col(COUNT)))
+    grid = dense_grid(cells, time_col, span, (COUNT,), partitions).withColumn(LABEL, label(F.col(COUNT)))
     hourly = granularity == "hourly"
     grid = add_calendar(grid, time_col, tz, hourly=hourly)
     keys = ("day_of_week", "hour", "season") if hourly else ("day_of_week",)
@@ -107,10 +111,6 @@ def window_grid(
     return add_priors(grid, ROLLUP_WINDOWS, unique_cells="block_id" not in grid.columns, mode=prior_mode)
 
 
-def local_hours(hourly: DataFrame, tz: str | None) -> DataFrame:
-    return hourly.withColumn("dt_local", local_time(F.col("dt"), tz).cast("timestamp_ntz"))
-
-
 def training_parts(
     grid: DataFrame, share: float = 0.8, on_leak: str = "drop"
 ) -> tuple[DataFrame, DataFrame, Features]:
@@ -211,6 +211,19 @@ def train_frequencies(
     return models, failed
 
 
+def save_run(root: str, freq: str, model: RiskModel, metrics: DataFrame, scored: DataFrame) -> None:
+    """Model, metrics row, precision-recall curve and class report of one training run."""
+    kind = "stacked" if model.bases else "single"
+    name = f"{kind}_{freq.lower()}"
+    model.save(f"{root}/models/{name}")
+    metrics = materialize(metrics)
+    write_metrics(metrics, f"{root}/reports/metrics")
+    counts = score_counts(scored, LABEL, "prob")
+    write_pr_curve(pr_curve(counts), f"{root}/reports/pr_curve_{name}")
+    threshold = float(metrics.first()["best_threshold"])
+    write_report(class_report(confusion(scored, threshold, LABEL, "prob")), f"{root}/reports/class_report_{name}")
+
+
 def score_frame(model: RiskModel, frame: DataFrame) -> DataFrame:
     """Score a forecast frame: align its columns to the model and keep (area, time, prob)."""
     return model.score(align_features(frame, model.inputs, keep=(KEY, "t0"))).select(KEY, "t0", "prob")

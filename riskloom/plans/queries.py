@@ -510,5 +510,16 @@ def q_model_metrics(spark, folder):
     return build.train(panel, "1D", undersample_ratio=0.5, sizes=sizes)[1]
 
 
+@query("model_stacked")
+def q_model_stacked(spark, folder):
+    """Test metrics of a small stacked ensemble on the nation grid."""
+    grid = materialize(standard_daily(spark, folder, ("o_totalprice",)))
+    sizes = {
+        "boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": None, "forest": {"numTrees": 3, "maxDepth": 3},
+        "linear": {"maxIter": 10},
+    }
+    return build.train(grid, "1D", kind="stacked", sizes=sizes)[1]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: text for name, text in SQL.items() if name in QUERIES}

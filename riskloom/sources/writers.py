@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,12 +91,25 @@ def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     report_lines(report).coalesce(1).write.mode(mode).text(path)
 
 
-def first_existing(spark, candidates: Iterable[str]) -> str:
-    """The first path that exists, on whatever file system it names."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def first_existing(spark: SparkSession, candidates: Iterable[str]) -> str:
     tried = list(candidates)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in tried:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(conf).exists(target):
+        if exists(spark, path):
             return path
     raise FileNotFoundError(f"none of {tried} exists")
+
+
+def grid_path(root: str, freq: str) -> str:
+    return f"{root}/grid_{freq.lower()}"
+
+
+def stored_grids(spark: SparkSession, root: str, freqs: Iterable[str]) -> dict[str, DataFrame | None]:
+    """The written grids by frequency; None where there is none."""
+    paths = {f: grid_path(root, f) for f in freqs}
+    return {f: spark.read.parquet(p) if exists(spark, p) else None for f, p in paths.items()}

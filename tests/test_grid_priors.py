@@ -115,6 +115,15 @@ def test_dense_grid_has_every_step_once(spark):
     assert grid.groupby("GEOID")["t0"].agg(["min", "max"]).nunique().tolist() == [1, 1]
 
 
+def test_dense_grid_within_given_days(spark):
+    rows = [("a", "2024-01-01", 2), ("a", "2024-01-05", 1), ("b", "2024-01-09", 4)]
+    cells = instants(spark, rows, "GEOID string, t0 string, crime_count long")
+    span = (datetime(2024, 1, 3, 15), datetime(2024, 1, 10))
+    grid = dense_grid(cells, "t0", span, ("crime_count",), partitions=3)
+    assert grid.count() == 2 * 8 and grid.agg(F.sum("crime_count")).first()[0] == 5
+    assert grid.rdd.getNumPartitions() == 3
+
+
 def test_dense_grid_of_nothing_is_empty(spark):
     cells = instants(spark, [], "GEOID string, t0 string, crime_count long")
     assert dense_grid(cells, "t0", zero_filled=("crime_count",)).count() == 0

@@ -12,6 +12,7 @@ from riskloom.operators import features as ft
 from riskloom.operators.counts import class_balance
 from riskloom.operators.models import RiskModel, fit_single, load_best, model_paths, preparation
 from riskloom.plans import build
+from riskloom.sources.writers import grid_path, stored_grids, write_grid
 
 SMALL = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}
 
@@ -151,6 +152,20 @@ def test_train_save_load_and_forecast(spark, tmp_path):
         load_best(spark, root, "1W")
 
 
+def test_stored_run_end_to_end(spark, tmp_path):
+    root = str(tmp_path)
+    write_grid(panel(spark, areas=5, days=40), grid_path(root, "1D"))
+    grids = stored_grids(spark, root, ["1D", "1W"])
+    assert grids["1W"] is None
+    models, failed = build.train_frequencies(
+        grids, on_done=lambda f, m, metrics, scored: build.save_run(root, f, m, metrics, scored), sizes=SMALL
+    )
+    assert list(models) == ["1D"] and not failed
+    assert spark.read.json(f"{root}/reports/metrics").first()["freq"] == "1D"
+    assert spark.read.csv(f"{root}/reports/pr_curve_single_1d", header=True).count() > 2
+    assert load_best(spark, f"{root}/models", "1D").inputs == models["1D"].inputs
+
+
 def test_stacked_model(spark, tmp_path):
     grid = panel(spark, areas=8, days=40)
     sizes = {"boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": None, "forest": {"numTrees": 3}, "linear": {"maxIter": 10}}
