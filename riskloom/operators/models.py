@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.features import Features, median_values, mode_values
 from riskloom.schema import KEY, LABEL
-from riskloom.session import checkpoint_root
+from riskloom.session import checkpoint_root, materialize
 from riskloom.sources.writers import first_existing
 
 WEIGHT = "__weight"
@@ -143,13 +143,19 @@ def fit_single(train: DataFrame, features: Features, positive_weight: float, y:
     return RiskModel(features.all, Pipeline(stages=stages).fit(weighted))
 
 
-def stack_bases(n: int, y: str = LABEL, sizes: dict[str, dict] | None = None) -> dict:
-    """The base learners; ``sizes`` overrides their settings, None leaves one out."""
+def _stack_sizes(sizes: dict[str, dict | None] | None) -> dict[str, dict | None]:
     chosen = {
-        "boosted": STACK_BOOSTED, "boosted_long": STACK_BOOSTED_LONG, "forest": STACK_FOREST, "linear": STACK_LINEAR,
+        "boosted": STACK_BOOSTED, "boosted_long": STACK_BOOSTED_LONG, "forest": STACK_FOREST,
+        "linear": STACK_LINEAR, "meta": STACK_META,
     }
     for name, size in (sizes or {}).items():
         chosen[name] = None if size is None else {**chosen[name], **size}
+    return chosen
+
+
+def stack_bases(n: int, y: str = LABEL, sizes: dict[str, dict] | None = None) -> dict:
+    """The base learners; ``sizes`` overrides their settings, None leaves one out."""
+    chosen = {name: size for name, size in _stack_sizes(sizes).items() if name != "meta"}
     make = {
         "boosted": lambda s: boosted_trees(y, None, **s),
         "boosted_long": lambda s: boosted_trees(y, None, **s),
@@ -195,16 +201,19 @@ def fit_stacked(
     fold = F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(folds)).alias("__fold")
     prepared = prepared_by.transform(train).select("features", F.col(y).cast("double").alias(y), fold).persist()
     try:
-        bases = stack_bases(prepared.count(), y, sizes)
+        n = prepared.count()
+        bases = stack_bases(n, y, sizes)
         held_out = None
         for i in range(folds):
             rest = prepared.filter(F.col("__fold") != i)
             fitted = {n: PipelineModel(stages=[b.fit(rest)]) for n, b in bases.items()}
             part = _with_base_scores(prepared.filter(F.col("__fold") == i), fitted)
             held_out = part if held_out is None else held_out.unionByName(part)
+        # The last learner passes over these many times: score them once.
+        held_out = materialize(held_out.drop("__fold"))
         full = {n: PipelineModel(stages=[b.fit(prepared)]) for n, b in bases.items()}
         join = VectorAssembler(inputCols=[*[f"__base_{n}" for n in bases], "features"], outputCol="__stacked")
-        meta = Pipeline(stages=[join, _ridge(prepared.count(), y, "__stacked", **STACK_META)]).fit(held_out)
+        meta = Pipeline(stages=[join, _ridge(n, y, "__stacked", **_stack_sizes(sizes)["meta"])]).fit(held_out)
     finally:
         prepared.unpersist()
     return RiskModel(features.all, PipelineModel(stages=[prepared_by, meta]), full)

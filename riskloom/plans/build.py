@@ -18,7 +18,7 @@ from riskloom.operators.features import (
 )
 from riskloom.operators.forecast import forecast_frame, ranked_forecast
 from riskloom.operators.grid import dense_grid, time_span
-from riskloom.operators.models import RiskModel, fit_single, fit_stacked
+from riskloom.operators.models import STACK_FOLDS, RiskModel, fit_single, fit_stacked
 from riskloom.operators.priors import PANEL_WINDOWS, ROLLUP_WINDOWS, add_priors
 from riskloom.operators.rollup import rollup
 from riskloom.schema import (
@@ -154,6 +154,7 @@ def train(
     on_leak: str = "drop",
     share: float = 0.8,
     sizes: dict | None = None,
+    folds: int = STACK_FOLDS,
 ) -> tuple[RiskModel, DataFrame, DataFrame]:
     """Fit one frequency; returns model, metrics row and the scored test set."""
     if kind not in ("single", "stacked"):
@@ -167,7 +168,7 @@ def train(
         if weight_after_sampling:
             balance = class_balance(sampled).first()
         if kind == "stacked":
-            model = fit_stacked(sampled, features, sizes=sizes)
+            model = fit_stacked(sampled, features, folds=folds, sizes=sizes)
         else:
             model = fit_single(sampled, features, balance["scale_pos_weight"], **(sizes or {}))
         n_train = sampled.count()

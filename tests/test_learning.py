@@ -14,7 +14,7 @@ from riskloom.operators.models import RiskModel, fit_single, load_best, model_pa
 from riskloom.plans import build
 from riskloom.sources.writers import grid_path, stored_grids, write_grid
 
-SMALL = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}
+SMALL = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3}
 
 
 def panel(spark, areas=12, days=60, seed=0):
@@ -168,8 +168,8 @@ def test_stored_run_end_to_end(spark, tmp_path):
 
 def test_stacked_model(spark, tmp_path):
     grid = panel(spark, areas=8, days=40)
-    sizes = {"boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": None, "forest": {"numTrees": 3}, "linear": {"maxIter": 10}}
-    model, metrics, scored = build.train(grid, "1D", kind="stacked", sizes=sizes)
+    sizes = {"boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": None, "forest": {"numTrees": 3}, "linear": {"maxIter": 3}, "meta": {"maxIter": 5}}
+    model, metrics, scored = build.train(grid, "1D", kind="stacked", sizes=sizes, folds=2)
     assert list(model.bases) == ["boosted", "forest", "linear"] and metrics.first()["pr_auc"] > 0.4
     stacked, single = model_paths(str(tmp_path), "1D")[:2]
     model.save(stacked)
