@@ -205,18 +205,30 @@ def undersample(
         return train
     if keep == 0:
         return train.filter(positive)
-    negatives = train.filter(negative)
-    place = nth_smallest_long(negatives, order, keep)
-    limit = F.lit(place.value)
+    # Equal hashes at the cut are told apart by further hashes, of the cell and of the row.
+    orders = [
+        order, F.xxhash64(*[F.col(c) for c in key], F.lit(seed + 1)),
+        F.xxhash64(*[quoted(c) for c in train.columns], F.lit(seed + 2)),
+    ]
+    chosen, repeats = _smallest(train.filter(negative), orders, keep)
+    kept = train.filter(positive | (negative & chosen))
+    return kept if repeats is None else kept.unionByName(repeats)
+
+
+def _smallest(rows: DataFrame, orders: list[Column], n: int) -> tuple[Column, DataFrame | None]:
+    """A filter for the ``n`` rows first in lexicographic order of 64-bit keys.
+
+    Rows equal in every key are interchangeable; if some of them are needed to
+    reach ``n``, they come as a second frame.
+    """
+    place = nth_smallest_long(rows, orders[0], n)
+    under, at = orders[0] < F.lit(place.value), orders[0] == F.lit(place.value)
     if place.needed == place.equals:
-        return train.filter(positive | (negative & (order <= limit)))
-    # Equal hashes straddle the cut: rank only those few rows by their cell.
-    ties = negatives.filter(order == limit).withColumn(
-        "__r", F.row_number().over(Window.orderBy(*[F.col(c) for c in key]))
-    )
-    return train.filter(positive | (negative & (order < limit))).unionByName(
-        ties.filter(F.col("__r") <= place.needed).drop("__r")
-    )
+        return under | at, None
+    if len(orders) == 1:
+        return under, rows.filter(at).limit(place.needed)
+    below, repeats = _smallest(rows.filter(at), orders[1:], place.needed)
+    return under | (at & below), repeats
 
 
 def median_values(df: DataFrame, cols: Iterable[str]) -> dict[str, float]:

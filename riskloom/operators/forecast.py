@@ -48,13 +48,18 @@ def carried_columns(columns: Iterable[str]) -> list[str]:
     return keep + [c for c in FORECAST_FEATURES if c in have]
 
 
-def last_snapshot(grid: DataFrame, keep: Iterable[str], time_col: str = "t0") -> DataFrame:
+def last_snapshot(grid: DataFrame, keep: Iterable[str], time_col: str = "t0", dense: bool = False) -> DataFrame:
     """Each area's row with the latest time.
 
     One aggregate with a map-side part: a hot area leaves one row per task.
+    ``dense`` says that every area reaches the grid's last time, as grids
+    built here do: then only that time is read, and statistics skip the rest.
     """
     keep = list(keep)
     require(grid, [KEY, time_col, *keep], "snapshot")
+    if dense:
+        last_time = grid.agg(F.max(time_col)).scalar()
+        return grid.filter(F.col(time_col) == last_time).select(KEY, *[quoted(c) for c in keep])
     row = F.struct(*[quoted(c) for c in keep])
     last = grid.dropna(subset=[KEY]).groupBy(KEY).agg(F.max_by(row, F.col(time_col)).alias("__row"))
     return last.select(KEY, *[F.col("__row")[c].alias(c) for c in keep])
@@ -87,19 +92,20 @@ def forecast_frame(
     as_of: datetime,
     area: str | None = None,
     align_to_epoch_week: bool = False,
+    dense: bool = False,
 ) -> DataFrame:
     """Model inputs for every area and future bucket.
 
     The snapshot (one row per area) is written once because the medians and
     the frame both read it; the future rows are then exploded from it in
     place, without a join.  Medians of the snapshot equal those of the frame,
-    where every area repeats equally often.
+    where every area repeats equally often.  ``dense`` as in ``last_snapshot``.
     """
     if freq != "1M" and hours <= 0:
         raise ValueError("horizon too short: no future bucket")
     if area is not None:
         grid = one_area(grid, area)
-    snapshot = materialize(last_snapshot(grid, carried_columns(grid.columns)))
+    snapshot = materialize(last_snapshot(grid, carried_columns(grid.columns), dense=dense))
     filled = fill_with_medians(snapshot)
     starts = future_starts(F.lit(freq), F.lit(float(hours)), as_of, align_to_epoch_week)
     rows = filled.withColumn("t0", F.explode(starts))

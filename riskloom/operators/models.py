@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.features import Features, median_values, mode_values
 from riskloom.schema import KEY, LABEL
-from riskloom.session import checkpoint_root, materialize
+from riskloom.session import checkpoint_root, materialize, release
 from riskloom.sources.writers import first_existing
 
 WEIGHT = "__weight"
@@ -214,6 +214,7 @@ def fit_stacked(
         full = {n: PipelineModel(stages=[b.fit(prepared)]) for n, b in bases.items()}
         join = VectorAssembler(inputCols=[*[f"__base_{n}" for n in bases], "features"], outputCol="__stacked")
         meta = Pipeline(stages=[join, _ridge(n, y, "__stacked", **_stack_sizes(sizes)["meta"])]).fit(held_out)
+        release(held_out)
     finally:
         prepared.unpersist()
     return RiskModel(features.all, PipelineModel(stages=[prepared_by, meta]), full)

@@ -24,7 +24,7 @@ from riskloom.operators.rollup import rollup
 from riskloom.schema import (
     COUNT, FREQUENCIES, HOURLY_PROTECTED, KEY, LABEL, SIDE_FEATURES, label, normalize_key, require,
 )
-from riskloom.session import materialize
+from riskloom.session import materialize, release
 from riskloom.sources.readers import ensure_some_time, parsed_time, resolve_event_time
 from riskloom.sources.writers import write_metrics, write_pr_curve, write_report
 
@@ -140,6 +140,7 @@ def evaluate(scored: DataFrame, y: str = LABEL, p: str = "prob") -> DataFrame:
     facts["pr_auc"] = facts.pop("average_precision")
     facts |= best.asDict()
     facts |= confusion(scored, float(best["best_threshold"]), y, p).first().asDict()
+    release(counts)
     balance = class_balance(scored, y).first()
     facts |= {"y1_count": balance["pos"], "y0_count": balance["neg"], "y1_rate": balance["y1_rate"]}
     return scored.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
@@ -238,10 +239,11 @@ def forecast(
     as_of: datetime,
     area: str | None = None,
     k: int | None = 50,
+    dense: bool = False,
 ) -> DataFrame:
     """Ranked and tiered forecast for all areas, or for one.
 
     Scores are written once: the tier limits and the ranking both read them.
     """
-    frame = forecast_frame(grid, freq, hours, as_of, area)
+    frame = forecast_frame(grid, freq, hours, as_of, area, dense=dense)
     return ranked_forecast(materialize(score_frame(model, frame)), k, area)

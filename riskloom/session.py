@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+TABLE_PREFIX = "riskloom-"
+
+
 def build_session(app: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution; extra settings as keyword pairs."""
     builder = (
@@ -58,6 +61,16 @@ def materialize(df: DataFrame) -> DataFrame:
     costs nothing but a re-read.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/riskloom-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{TABLE_PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind a materialized table that is no longer needed."""
+    spark = df.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for folder in folders:
+        if folder.rsplit("/", 1)[1].startswith(TABLE_PREFIX):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,6 +29,18 @@ def test_snapshot_is_the_latest_row(spark, plan_of):
         last_snapshot(grid(spark), ["nope"])
 
 
+def test_dense_snapshot_reads_only_the_last_time(spark, plan_of, tmp_path):
+    days = spark.range(300).select(
+        (F.col("id") % 30).cast("string").alias("GEOID"), F.timestamp_seconds(F.floor(F.col("id") / 30) * 86400).alias("t0"),
+        F.col("id").alias("crime_count"),
+    )
+    days.write.parquet(str(tmp_path / "dense"))
+    stored = spark.read.parquet(str(tmp_path / "dense"))
+    fast, slow = (last_snapshot(stored, ["crime_count"], dense=d) for d in (True, False))
+    assert sorted(fast.collect()) == sorted(slow.collect()) and fast.count() == 30
+    assert "Aggregate(keys=[GEOID" not in plan_of(fast)
+
+
 def test_carried_columns_take_one_prior_family(spark):
     both = [f"prior_{k}_{s}" for s in ("3m", "12m", "28d", "180d") for k in ("cnt", "p")]
     assert carried_columns(both + ["wx_tavg", "other"]) == [

@@ -106,6 +106,9 @@ def test_undersample_with_equal_hashes(spark):
     n = class_balance(df).first()["neg"]
     kept = ft.undersample(df, 0.5, order_key=F.lit(7).cast("bigint"))
     assert class_balance(kept).first()["neg"] == int(n * 0.5)
+    assert kept.select("GEOID", "t0").distinct().count() == kept.count()
+    same = spark.range(100).select(F.lit("a").alias("GEOID"), F.lit("2024-01-01").alias("t0"), F.lit(0).alias("Y_label"))
+    assert ft.undersample(same, 0.3, at_least_one=False).count() == 30
     assert ft.undersample(df, 0.0) is df
 
 

@@ -7,10 +7,10 @@ from riskloom.operators.counts import category_counts, label_stats
 from riskloom.operators.evaluation import class_report, pr_curve, score_counts
 from riskloom.operators.priors import add_priors
 from riskloom.schema import int_or, normalize_key, numeric_columns, require
-from riskloom.session import checkpoint_root, materialize
+from riskloom.session import checkpoint_root, materialize, release
 from riskloom.sources.readers import ensure_some_time, parsed_time, read_columns, resolve_event_time, schema_report
 from riskloom.sources.writers import (
-    write_forecast, write_grid, write_grid_table, write_metrics, write_pr_curve, write_report, write_small_csv,
+    exists, write_forecast, write_grid, write_grid_table, write_metrics, write_pr_curve, write_report, write_small_csv,
 )
 
 
@@ -155,3 +155,6 @@ def test_materialized_tables_keep_types_and_live_in_the_shared_folder(spark):
     assert [(f.name, f.dataType) for f in back.schema.fields] == [(f.name, f.dataType) for f in df.schema.fields]
     folder = checkpoint_root(spark).rstrip("/").rsplit("/", 1)[1]
     assert back.exceptAll(df).isEmpty() and f"/{folder}/" in back.inputFiles()[0]
+    files = back.inputFiles()
+    release(back)
+    assert not exists(spark, files[0])
