@@ -53,19 +53,21 @@ class _Rank:
         return F.when(test, v)
 
 
-def exact_quantiles(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, list[float | None]]:
+def exact_quantiles(
+    df: DataFrame, probs: dict[str, list[float]], sizes: dict[str, int] | None = None
+) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation) of several numeric columns.
 
     Returns per column one value per requested share, ``None`` if a column has
-    no value.  Costs one counting pass, then for each further factor of about
-    1,000 in size two passes (sketch and recount) over ``df``; every pass
-    returns a single row.  Give a frame that is cheap to read again, such as a
-    scan or a checkpoint.
+    no value.  Costs one counting pass (none if ``sizes`` gives the number of
+    values per column), then for each further factor of about 1,000 in size two
+    passes (sketch and recount) over ``df``; every pass returns a single row.
+    Give a frame that is cheap to read again, such as a stored table.
     """
     if not probs:
         return {}
     df = df.select(*[to_double(quoted(c)).alias(c) for c in probs])
-    counted = df.agg(*[F.count(quoted(c)).alias(c) for c in probs]).first()
+    counted = sizes or df.agg(*[F.count(quoted(c)).alias(c) for c in probs]).first().asDict()
     ranks: dict[tuple[str, int], _Rank] = {}
     for c, shares in probs.items():
         n = counted[c]

@@ -231,9 +231,9 @@ def _smallest(rows: DataFrame, orders: list[Column], n: int) -> tuple[Column, Da
     return under | (at & below), repeats
 
 
-def median_values(df: DataFrame, cols: Iterable[str]) -> dict[str, float]:
+def median_values(df: DataFrame, cols: Iterable[str], sizes: dict[str, int] | None = None) -> dict[str, float]:
     """Exact medians (mean of the middle two) of the columns that have values."""
-    found = exact_quantiles(df, {c: [0.5] for c in cols})
+    found = exact_quantiles(df, {c: [0.5] for c in cols}, sizes)
     return {c: v[0] for c, v in found.items() if v[0] is not None}
 
 

@@ -81,8 +81,9 @@ def fill_with_medians(df: DataFrame) -> DataFrame:
     names = numeric_columns(df)
     if not names:
         return df
-    missing = df.agg(*[(F.count("*") - F.count(to_double(quoted(c)))).alias(c) for c in names]).first()
-    return fill_missing(df, median_values(df, [c for c in names if missing[c]]))
+    counted = df.agg(F.count("*").alias("__n"), *[F.count(to_double(quoted(c))).alias(c) for c in names]).first()
+    sizes = {c: counted[c] for c in names if counted[c] < counted["__n"]}
+    return fill_missing(df, median_values(df, list(sizes), sizes))
 
 
 def forecast_frame(
@@ -126,9 +127,8 @@ def tier_rank(prob: Column, limits: list[float]) -> Column:
 
 def tier_limits(scored: DataFrame, prob: str = "prob") -> list[float]:
     """Quantiles .8/.6/.4/.2 of all scores, or the fixed limits below five rows."""
-    if scored.limit(5).count() < 5:
-        return list(TIER_FALLBACK)
-    return exact_quantiles(scored, {prob: TIER_FALLBACK})[prob]
+    n = scored.agg(F.count(prob)).first()[0]
+    return list(TIER_FALLBACK) if n < 5 else exact_quantiles(scored, {prob: TIER_FALLBACK}, {prob: n})[prob]
 
 
 def add_tier(scored: DataFrame, prob: str = "prob") -> DataFrame:
