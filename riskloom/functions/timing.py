@@ -27,11 +27,17 @@ TIME_PATTERNS = [
 
 
 def as_instant(df: DataFrame, name: str) -> Column:
-    """Column ``name`` as a UTC timestamp; what does not parse becomes NULL."""
+    """Column ``name`` as a UTC timestamp; what does not parse becomes NULL.
+
+    Numbers count nanoseconds since the epoch.
+    """
     data_type = df.schema[name].dataType
     column = quoted(name)
     if isinstance(data_type, T.StringType):
         return parse_instant(column)
+    if isinstance(data_type, T.NumericType):
+        # Whole-number division: a double cannot hold today's nanoseconds.
+        return F.timestamp_micros(F.expr(f"try_cast(`{name}` AS BIGINT) div 1000"))
     return column.try_cast("timestamp")
 
 

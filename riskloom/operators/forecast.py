@@ -15,7 +15,7 @@ from riskloom.schema import (
     COUNT, FORECAST_FEATURES, KEY, PRIOR_FAMILIES, TIER_FALLBACK, TIER_LABELS, int_or, numeric_columns, quoted,
     require, to_double,
 )
-from riskloom.session import materialize
+from riskloom.session import materialize, shuffle_width
 
 GROUP_LIMIT = 1_000  # Spark prunes ranked windows before the shuffle up to this rank
 SALTS = 256
@@ -109,7 +109,9 @@ def forecast_frame(
     snapshot = materialize(last_snapshot(grid, carried_columns(grid.columns), dense=dense))
     filled = fill_with_medians(snapshot)
     starts = future_starts(F.lit(freq), F.lit(float(hours)), as_of, align_to_epoch_week)
-    rows = filled.withColumn("t0", F.explode(starts))
+    # Spread the small snapshot before it grows, so that scoring runs wide.
+    spread = filled.repartition(shuffle_width(grid.sparkSession), KEY)
+    rows = spread.withColumn("t0", F.explode(starts))
     rows = add_calendar(rows, "t0", hour_start="zero")
     return rows.withColumns(
         {c: int_or(F.col(c), -1 if c == "year" else 0, t) for c, t in

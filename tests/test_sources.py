@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -52,6 +53,9 @@ def test_key_forms(spark):
         ("date string, time string, received_time string", ("2024-01-01", "07:30", "2020-01-01"), "2024-01-01 07:00:00"),
         ("date string, event_hour string", ("2024-01-01", "2024-01-02 09:15:00"), "2024-01-02 09:00:00"),
         ("received_time string", ("2024-01-03 01:02:03+02:00",), "2024-01-02 23:00:00"),
+        ("datetime timestamp_ntz", (dt.datetime(2024, 1, 1, 4, 30),), "2024-01-01 04:00:00"),
+        ("datetime date", (dt.date(2024, 1, 1),), "2024-01-01 00:00:00"),
+        ("datetime long", (1_704_085_199_999_999_999,), "2024-01-01 04:00:00"),
     ],
 )
 def test_event_time_goes_by_column_presence(spark, schema, row, want):

@@ -10,7 +10,7 @@ from riskloom.functions.timing import (
 )
 
 HORIZONS = [
-    "72h", "30", "2w", "6m", "", ".5d", " 4 W ", "1h30m", "1 hour 30 minutes", "36:00:00", "-3d", "-3", "5.", "1e3",
+    "72h", "30", "2w", "6m", "", ".5d", " 4\u00a0W ", "1h30m", "1 hour 30 minutes", "36:00:00", "-3d", "-3", "5.", "1e3",
     "2 days 03:00:00", "1w2d", "1.5 days", "90 min", "1 day, 2 hours", "02:30", "1h 30", "h", "3x", "1d-2h", "+3d",
     "1 month", "1 m 2 s", "1.5h30m", "1:2:3.5", "12hr", "12hrs", "7 sec", "1 us", "2 mins", "2minutes", "abc", "9 weeks",
 ]
@@ -21,7 +21,7 @@ def expected_hours(text):
 
     if not text:
         return 720.0
-    clean = text.strip().replace(" ", " ").lower()
+    clean = text.strip().replace("\u00a0", " ").lower()
     m = re.match(r"^\s*([0-9]*\.?[0-9]+)\s*([hdwm]?)\s*$", clean)
     if m:
         return float(m[1]) * HORIZON_UNITS[m[2]]
