@@ -217,7 +217,7 @@ def score_band(score: Column) -> Column:
 
 
 def running_totals(by_score: DataFrame, score: str, measures: list[str]) -> DataFrame:
-    """Add ``cum_<measure>``: totals over all scores >= the row's own.
+    """Add ``cum_<measure>``, totals over all scores >= the row's own, and ``all_<measure>``.
 
     ``by_score`` has one row per 32-bit score.  Totals run within bands, and
     the totals of higher bands are added from a table of at most one row per
@@ -227,11 +227,13 @@ def running_totals(by_score: DataFrame, score: str, measures: list[str]) -> Data
     bands = banded.groupBy("__band").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     higher = Window.orderBy(F.col("__band").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = bands.select(
-        "__band", *[F.coalesce(F.sum(f"__t_{m}").over(higher), F.lit(0)).alias(f"__o_{m}") for m in measures]
+        "__band",
+        *[F.coalesce(F.sum(f"__t_{m}").over(higher), F.lit(0)).alias(f"__o_{m}") for m in measures],
+        *[F.sum(f"__t_{m}").over(Window.partitionBy()).alias(f"all_{m}") for m in measures],
     )
     inside = Window.partitionBy("__band").orderBy(F.col(score).desc())
     joined = banded.withColumns({f"__w_{m}": F.sum(m).over(inside) for m in measures}).join(
         F.broadcast(offsets), "__band"
     )
     cums = [(F.col(f"__w_{m}") + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures]
-    return joined.select(*[F.col(c) for c in by_score.columns], *cums)
+    return joined.select(*[F.col(c) for c in by_score.columns], *cums, *[F.col(f"all_{m}") for m in measures])

@@ -20,7 +20,7 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def _measures(counts: DataFrame) -> DataFrame:
-    total = counts.agg(F.sum("pos")).scalar()
+    total = F.col("all_pos")
     precision = F.col("cum_pos").cast("double") / F.col("cum_n")
     recall = F.when(total > 0, F.col("cum_pos").cast("double") / total).otherwise(1.0)
     return counts.select("threshold", "pos", precision.alias("precision"), recall.alias("recall"))
