@@ -219,11 +219,14 @@ def score_band(score: Column) -> Column:
 def running_totals(by_score: DataFrame, score: str, measures: list[str]) -> DataFrame:
     """Add ``cum_<measure>``, totals over all scores >= the row's own, and ``all_<measure>``.
 
-    ``by_score`` has one row per 32-bit score.  Totals run within bands, and
+    ``by_score`` has one row per 32-bit score, none of them null.  Totals run within bands, and
     the totals of higher bands are added from a table of at most one row per
     band, which is what makes the broadcast safe.
     """
-    banded = by_score.withColumn("__band", score_band(F.col(score)))
+    # Never null, so the join adds no filter to one side only: both sides stay
+    # the same subplan up to the exchange by score, which Spark then runs once.
+    band = F.coalesce(score_band(F.col(score)), F.lit(0))
+    banded = by_score.withColumn("__band", band)
     bands = banded.groupBy("__band").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     higher = Window.orderBy(F.col("__band").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = bands.select(

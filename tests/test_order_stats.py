@@ -93,3 +93,12 @@ def test_running_totals_plan_has_no_single_partition_over_scores(spark, plan_of)
     plan = plan_of(running_totals(df, "s", ["n"]))
     assert plan.count("Exchange SinglePartition") == 1  # the table of bands
     assert "HashAggregate(keys=[__band" in plan and "BroadcastHashJoin" in plan
+
+
+def test_running_totals_shuffle_the_scores_once(spark, plan_of, tmp_path):
+    spark.range(1000).select((F.col("id") / 1000).cast("float").alias("s"), F.lit(1).alias("n")).write.parquet(str(tmp_path / "s"))
+    by_score = spark.read.parquet(str(tmp_path / "s")).groupBy("s").agg(F.sum("n").alias("n"))
+    out = running_totals(by_score, "s", ["n"])
+    out.collect()
+    final = plan_of(out).split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
