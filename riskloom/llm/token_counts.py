@@ -59,7 +59,7 @@ def pre_tokens(text: str) -> list[str]:
 
 def _distinct(batches):
     for batch in batches:
-        words: set[str] = set()
+        words: set[str] = {""}  # every block has this one, see _frequencies
         for text in batch.column(0).to_pylist():
             words.update(pre_tokens(text))
         yield pa.record_batch([pa.array(list(words), pa.string())], ["word"])
