@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.session import checkpoint_root
+
 from .common import table
+from .packing import pack
+from .token_files import read_token_files, write_token_files
 from .token_counts import token_counts
 
 
@@ -12,5 +18,19 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{checkpoint_root(spark).rstrip('/')}/riskloom-tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, folder, "documents", "doc_id", "text"), place)
+    return read_token_files(spark, place)
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_packing": op3_packing,
+    "op10_token_files": op10_token_files,
+}
 ORACLE_SQL: dict[str, str] = {}
