@@ -3,8 +3,10 @@
 The vocabulary's pieces hold a space mark at their start only, so no merge
 crosses from a character into a following space: a text is a sequence of
 independent pre-tokens, each a run of spaces and the characters after it.
-Every distinct pre-token is counted once for the whole corpus and the counts
-are joined to per-document pre-token frequencies.
+Frequencies per document travel as one row for each pre-token and block of
+documents, are sorted by pre-token, and meet there the count of pieces, made
+once for each distinct pre-token of the corpus: a merge join in which only the
+frequencies are shuffled.  A very common pre-token has one row a block.
 """
 
 from __future__ import annotations
@@ -19,13 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import shuffle_width
+
 from .common import vocabulary_path
 
 SPACES_THEN_WORD = re.compile(r" +[^ ]*")
-BLOCK_ROWS = 32_768
+#: Row id: partition, batch and place in the block.  An entry of 16 bits has a place and a frequency.
+PLACE_BITS, BATCH_BITS = 13, 20
+BLOCK_ROWS = 1 << PLACE_BITS
+MOST_OFTEN = 1 << (16 - PLACE_BITS)
 FLUSH_ENTRIES = 2_000_000
-#: Row id: partition, batch and place in the batch.
-PLACE_BITS, BATCH_BITS = 15, 20
+NAMES = ["row", "n_tokens", "doc_id", "n_bytes"]
 _MODELS: dict = {}
 
 
@@ -57,26 +63,6 @@ def pre_tokens(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _distinct(batches):
-    for batch in batches:
-        words: set[str] = {""}  # every block has this one, see _frequencies
-        for text in batch.column(0).to_pylist():
-            words.update(pre_tokens(text))
-        yield pa.record_batch([pa.array(list(words), pa.string())], ["word"])
-
-
-def _counter(path: str):
-    def run(batches):
-        model = _model(path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            # "\n " + word: the space mark, the line end, then the pre-token's own pieces.
-            sizes = [len(ids) - 2 for ids in model.encode(["\n " + w for w in words], num_threads=1)]
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32())], ["word", "n_pieces"])
-
-    return run
-
-
 def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Binary values that are consecutive slices of ``data``."""
     offsets = (bounds * data.itemsize).astype(np.int32)
@@ -86,7 +72,7 @@ def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _frequencies(batches):
-    """Per block of documents and pre-token: which documents hold it, and how often (up to 255 an entry)."""
+    """Per block of documents and pre-token: which documents hold it, and how often."""
     partition = TaskContext.get().partitionId()
     ordinal = 0
     for batch in batches:
@@ -101,22 +87,22 @@ def _frequencies(batches):
             found, places, often = [], [], []
             for place, text in enumerate(part.column(0).to_pylist()):
                 seen = Counter(pre_tokens(text))
-                found.append(np.fromiter(map(codes.__getitem__, seen), np.int64, len(seen)))
+                found.append(np.fromiter(map(codes.__getitem__, seen), np.int32, len(seen)))
                 often.append(np.fromiter(seen.values(), np.int64, len(seen)))
                 places.append(np.full(len(seen), place, np.uint16))
             code, place, freq = np.concatenate(found), np.concatenate(places), np.concatenate(often)
             order = np.argsort(code, kind="stable")
             code, place, freq = code[order], place[order], freq[order]
-            copies = (freq + 254) // 255
-            if (copies > 1).any():
-                code, place, last = np.repeat(code, copies), np.repeat(place, copies), np.cumsum(copies) - 1
-                rest = freq - 255 * (copies - 1)
-                freq = np.full(len(code), 255, np.int64)
-                freq[last] = rest
+            # An entry has the place and the frequency less one; higher frequencies take several entries.
+            copies = (freq + MOST_OFTEN - 1) // MOST_OFTEN
+            rest = freq - MOST_OFTEN * (copies - 1)
+            code, place, last = np.repeat(code, copies), np.repeat(place, copies), np.cumsum(copies) - 1
+            freq = np.full(len(code), MOST_OFTEN, np.uint16)
+            freq[last] = rest
             bounds = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(codes)))])
             size = len(codes)
             # One pre-token, a different one for each block, also carries the block's documents.
-            carrier = block * 2_654_435_761 % (1 << 31) % size
+            carrier = (partition * 7_919 + ordinal * 104_729) % size
             known = part.column(1).is_valid().to_numpy(zero_copy_only=False)
             ids = part.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             head = np.stack([ids, known.astype(np.int64), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)])
@@ -125,45 +111,59 @@ def _frequencies(batches):
             yield pa.record_batch(
                 [
                     pa.array(list(codes), pa.string()), pa.array(np.full(size, block), pa.int64()),
-                    _slices(place, bounds), _slices(freq.astype(np.uint8), bounds), pa.array(heads, pa.binary()),
+                    _slices((place | ((freq - 1) << PLACE_BITS)).astype(np.uint16), bounds), pa.array(heads, pa.binary()),
                 ],
-                ["word", "block", "places", "often", "head"],
+                ["word", "block", "entries", "head"],
             )
 
 
-def _sums(batches):
-    """Pieces times frequency, added up per document over the pre-tokens this task reads."""
-    rows, sizes, held = [], [], 0
+def _sums(path: str):
+    """Over rows sorted by pre-token: count each pre-token's pieces once, add up pieces times frequency per document."""
 
-    def flush():
-        row, at = np.unique(np.concatenate(rows), return_inverse=True)
-        total = np.bincount(at, np.concatenate(sizes)).astype(np.int64)
-        none = pa.nulls(len(row), pa.int64())
-        return pa.record_batch([pa.array(row), pa.array(total), none, none], ["row", "n_tokens", "doc_id", "n_bytes"])
+    def run(batches):
+        model = _model(path)
+        last, last_size = None, 0
+        rows, sizes, held = [], [], 0
 
-    for batch in batches:
-        block, pieces = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 4))
-        for k, head in enumerate(batch.column(3).to_pylist()):
-            if head:
-                ids, known, n_bytes = np.frombuffer(head, np.int64).reshape(3, -1)
-                yield pa.record_batch(
-                    [
-                        pa.array(block[k] + np.arange(len(ids))), pa.array(np.zeros(len(ids), np.int64)),
-                        pa.array(ids, mask=known == 0), pa.array(n_bytes),
-                    ],
-                    ["row", "n_tokens", "doc_id", "n_bytes"],
-                )
-        place = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16)
-        often = b"".join(batch.column(2).to_pylist())
-        length = np.fromiter(map(len, batch.column(2).to_pylist()), np.int64, batch.num_rows)
-        rows.append(np.repeat(block, length) + place)
-        sizes.append(np.repeat(pieces, length) * np.frombuffer(often, np.uint8).astype(np.int64))
-        held += len(place)
-        if held > FLUSH_ENTRIES:
+        def flush():
+            row, at = np.unique(np.concatenate(rows), return_inverse=True)
+            total = np.bincount(at, np.concatenate(sizes)).astype(np.int64)
+            none = pa.nulls(len(row), pa.int64())
+            return pa.record_batch([pa.array(row), pa.array(total), none, none], NAMES)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = batch.column(0).dictionary_encode()
+            words = runs.dictionary.to_pylist()
+            # "\n " + word: the space mark, the line end, then the pre-token's own pieces.
+            fresh = [w for w in words if w != last]
+            known = dict(zip(fresh, (len(ids) - 2 for ids in model.encode(["\n " + w for w in fresh], num_threads=1)), strict=True))
+            if last is not None:
+                known.setdefault(last, last_size)
+            last = batch.column(0)[batch.num_rows - 1].as_py()
+            last_size = known[last]
+            pieces = np.array([known[w] for w in words], np.int64)[runs.indices.to_numpy()]
+            block = batch.column(1).to_numpy()
+            for k, head in enumerate(batch.column(3).to_pylist()):
+                if head:
+                    ids, is_known, n_bytes = np.frombuffer(head, np.int64).reshape(3, -1)
+                    place = pa.array(block[k] + np.arange(len(ids)))
+                    zeros = pa.array(np.zeros(len(ids), np.int64))
+                    yield pa.record_batch([place, zeros, pa.array(ids, mask=is_known == 0), pa.array(n_bytes)], NAMES)
+            lists = batch.column(2).to_pylist()
+            length = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
+            entry = np.frombuffer(b"".join(lists), np.uint16)
+            rows.append(np.repeat(block, length) + (entry & (BLOCK_ROWS - 1)))
+            sizes.append(np.repeat(pieces, length) * ((entry >> PLACE_BITS) + 1))
+            held += len(entry)
+            if held > FLUSH_ENTRIES:
+                yield flush()
+                rows, sizes, held = [], [], 0
+        if rows:
             yield flush()
-            rows, sizes, held = [], [], 0
-    if rows:
-        yield flush()
+
+    return run
 
 
 def token_counts(docs: DataFrame, limit: int = 4096, vocabulary: str | None = None) -> DataFrame:
@@ -177,16 +177,12 @@ def token_counts(docs: DataFrame, limit: int = 4096, vocabulary: str | None = No
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     check_splittable(path)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    pieces = (
-        texts.select("text").mapInArrow(_distinct, "word string").distinct()
-        .mapInArrow(_counter(path), "word string, n_pieces int")
-    )
     frequencies = texts.select("text", "doc_id", F.octet_length("text").cast("long").alias("n_bytes")).mapInArrow(
-        _frequencies, "word string, block long, places binary, often binary, head binary"
+        _frequencies, "word string, block long, entries binary, head binary"
     )
     partial = (
-        frequencies.join(pieces, "word").select("block", "places", "often", "head", "n_pieces")
-        .mapInArrow(_sums, "row long, n_tokens long, doc_id long, n_bytes long")
+        frequencies.repartition(shuffle_width(docs.sparkSession), "word").sortWithinPartitions("word")
+        .mapInArrow(_sums(path), "row long, n_tokens long, doc_id long, n_bytes long")
     )
     return (
         partial.groupBy("row")
