@@ -10,6 +10,7 @@ from riskloom.session import checkpoint_root
 
 from .common import table
 from .packing import pack
+from .simhash import near_components
 from .token_files import read_token_files, write_token_files
 from .token_counts import token_counts
 
@@ -22,6 +23,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_components(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{checkpoint_root(spark).rstrip('/')}/riskloom-tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, folder, "documents", "doc_id", "text"), place)
@@ -31,6 +36,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
