@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_root
 
 from .common import table
+from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_components
 from .token_files import read_token_files, write_token_files
@@ -19,6 +21,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, folder, "documents", "doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -35,8 +42,28 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+LINE_DEDUP_SQL = """
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as place
+    from documents
+), keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from lines
+), repeated as (
+    select key, max(doc_id) as owner from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), marked as (
+    select k.*, r.owner is not null and r.owner <> k.doc_id as dropped from keyed k left join repeated r on k.key = r.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by place) filter (not dropped), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP_SQL}
