@@ -31,7 +31,7 @@ PLACE_BITS, BATCH_BITS = 13, 20
 BLOCK_ROWS = 1 << PLACE_BITS
 MOST_OFTEN = 1 << (16 - PLACE_BITS)
 FLUSH_ENTRIES = 2_000_000
-NAMES = ["row", "n_tokens", "doc_id", "n_bytes"]
+PARTIAL = ["block", "sums", "head"]
 _MODELS: dict = {}
 
 
@@ -128,8 +128,11 @@ def _sums(path: str):
         def flush():
             row, at = np.unique(np.concatenate(rows), return_inverse=True)
             total = np.bincount(at, np.concatenate(sizes)).astype(np.int64)
-            none = pa.nulls(len(row), pa.int64())
-            return pa.record_batch([pa.array(row), pa.array(total), none, none], NAMES)
+            block, starts = np.unique(row >> PLACE_BITS, return_index=True)
+            packed = np.stack([row & (BLOCK_ROWS - 1), total], axis=1)
+            bounds = 2 * np.append(starts, len(row))
+            none = pa.nulls(len(block), pa.binary())
+            return pa.record_batch([pa.array(block << PLACE_BITS), _slices(packed.ravel(), bounds), none], PARTIAL)
 
         for batch in batches:
             if not batch.num_rows:
@@ -145,12 +148,10 @@ def _sums(path: str):
             last_size = known[last]
             pieces = np.array([known[w] for w in words], np.int64)[runs.indices.to_numpy()]
             block = batch.column(1).to_numpy()
-            for k, head in enumerate(batch.column(3).to_pylist()):
-                if head:
-                    ids, is_known, n_bytes = np.frombuffer(head, np.int64).reshape(3, -1)
-                    place = pa.array(block[k] + np.arange(len(ids)))
-                    zeros = pa.array(np.zeros(len(ids), np.int64))
-                    yield pa.record_batch([place, zeros, pa.array(ids, mask=is_known == 0), pa.array(n_bytes)], NAMES)
+            carriers = batch.filter(batch.column(3).is_valid())
+            if carriers.num_rows:
+                none = pa.nulls(carriers.num_rows, pa.binary())
+                yield pa.record_batch([carriers.column(1), none, carriers.column(3)], PARTIAL)
             lists = batch.column(2).to_pylist()
             length = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
             entry = np.frombuffer(b"".join(lists), np.uint16)
@@ -166,6 +167,36 @@ def _sums(path: str):
     return run
 
 
+def _documents(limit: int):
+    """Over rows sorted by block: a row for each of its documents."""
+
+    def run(batches):
+        block, total, head = None, np.zeros(BLOCK_ROWS, np.int64), b""
+
+        def rows():
+            ids, known, n_bytes = np.frombuffer(head, np.int64).reshape(3, -1)
+            n = total[: len(ids)]
+            columns = [pa.array(ids, mask=known == 0), pa.array(n_bytes), pa.array(n.copy()), pa.array(n > limit)]
+            return pa.record_batch(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+        for batch in batches:
+            for at, sums, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != block:
+                    if block is not None:
+                        yield rows()
+                    block, head = at, b""
+                    total[:] = 0
+                if own is not None:
+                    head = own
+                else:
+                    place, n = np.frombuffer(sums, np.int64).reshape(-1, 2).T
+                    total[place] += n
+        if block is not None:
+            yield rows()
+
+    return run
+
+
 def token_counts(docs: DataFrame, limit: int = 4096, vocabulary: str | None = None) -> DataFrame:
     """Bytes and tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
@@ -180,12 +211,10 @@ def token_counts(docs: DataFrame, limit: int = 4096, vocabulary: str | None = No
     frequencies = texts.select("text", "doc_id", F.octet_length("text").cast("long").alias("n_bytes")).mapInArrow(
         _frequencies, "word string, block long, entries binary, head binary"
     )
-    partial = (
-        frequencies.repartition(shuffle_width(docs.sparkSession), "word").sortWithinPartitions("word")
-        .mapInArrow(_sums(path), "row long, n_tokens long, doc_id long, n_bytes long")
+    width = shuffle_width(docs.sparkSession)
+    partial = frequencies.repartition(width, "word").sortWithinPartitions("word").mapInArrow(
+        _sums(path), "block long, sums binary, head binary"
     )
-    return (
-        partial.groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return partial.repartition(width, "block").sortWithinPartitions("block").mapInArrow(
+        _documents(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
