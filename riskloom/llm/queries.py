@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.session import checkpoint_root
 
 from .common import table
+from .decontam import MASKS, SHARE, SPAN, WINDOW, passages
 from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_components
@@ -34,6 +35,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return passages(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{checkpoint_root(spark).rstrip('/')}/riskloom-tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, folder, "documents", "doc_id", "text"), place)
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
     "op10_token_files": op10_token_files,
 }
 LINE_DEDUP_SQL = """
@@ -66,4 +72,46 @@ select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
 from marked group by doc_id
 """
 
-ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP_SQL}
+
+
+def _masked(words: str, at: str) -> str:
+    """The masked tokens of each mask, as rows."""
+    picks = [
+        "[" + ", ".join([f"'{k}'"] + [f"{words}[{at} + {o + 1}]" for o, bit in enumerate(mask) if bit == "1"]) + "]"
+        for k, mask in enumerate(MASKS)
+    ]
+    return f"unnest([{', '.join(picks)}])"
+
+
+DECONTAMINATION_SQL = f"""
+with words as (
+    select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w
+    from documents
+), items as (
+    select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as v
+    from benchmark
+), at_doc as (
+    select doc_id, w, unnest(range(len(w) - {SPAN} + 1)) as p from words
+), at_item as (
+    select item_id, v, unnest(range(len(v) - {SPAN} + 1)) as q from items
+), seeds as (
+    select doc_id, p, {_masked('w', 'p')} as seed from at_doc
+), tests as (
+    select item_id, q, {_masked('v', 'q')} as seed from at_item
+), diagonals as (
+    select distinct doc_id, item_id, p - q as d from seeds join tests using (seed)
+), aligned as (
+    select doc_id, item_id, d, len(v) as n, least({WINDOW}, len(v)) as width,
+        list_transform(range(len(v)), lambda i: case when d + i >= 0 and w[d + i + 1] = v[i + 1] then 1 else 0 end) as same
+    from diagonals join words using (doc_id) join items using (item_id)
+), checked as (
+    select *, list_sum(same) as m from aligned
+    where list_max(list_transform(range(n - width + 1), lambda s: list_sum(same[s + 1 : s + width]))) >= ceil(width * {SHARE})
+), ranked as (
+    select *, row_number() over (partition by doc_id, item_id order by m desc, d) as r from checked
+)
+select doc_id, item_id, cast(m as bigint) as n_match, cast(n as bigint) as n_item, cast(d as bigint) as doc_start
+from ranked where r = 1
+"""
+
+ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP_SQL, "op6_decontamination": DECONTAMINATION_SQL}
