@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 #: Letters whose lower-casing and composition need no table, then closing marks.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-MEMO_WORDS = 400_000
+#: Byte-level vocabularies write a byte that can't be shown as the next character from 256 on.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_SIGNS = dict(zip(sorted(set(range(256)) - SHOWN), map(chr, range(256, 512))))
+MEMO_WORDS = 1_200_000
 LONG_WORD = 64
-SLICE_CHARS = 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -27,6 +30,21 @@ def encoder(path: str) -> "WordEncoder":
     return _ENCODERS[path]
 
 
+class _Words(dict):
+    """Serialized ids by word; a word that is missing is encoded, and kept unless it is very long."""
+
+    def __init__(self, owner: "WordEncoder") -> None:
+        self.owner = owner
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.owner.encode_word(word.decode())
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.owner.memo_words:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordEncoder:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
         import os
@@ -39,61 +57,38 @@ class WordEncoder:
         if not any(p.get("pattern") == {"Regex": "\\s+"} and p.get("content") == " " for p in parts):
             raise ValueError("this vocabulary keeps white space: words cannot be encoded one by one")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.memo_words = memo_words
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Words(self)
         self.runs: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
-
-    def _learn(self, words: list[bytes]) -> None:
-        split, whole, need = [], [], set()
-        for word in words:
-            text = word.decode()
-            plain = PLAIN.fullmatch(text)
-            if plain:
-                letters, marks = plain[1].lower(), plain[2]
-                split.append((word, letters, marks))
-                need.update(x for x in (letters, marks) if x and x not in self.runs)
-            else:
-                whole.append((word, text))
-        if len(self.runs) + len(need) > self.memo_words:
+    def _pieces(self, run: str) -> bytes:
+        """Ids of lower-case letters, or of marks, that form one pre-token: the model alone is asked."""
+        shown = run.encode().decode("latin-1").translate(BYTE_SIGNS)
+        found = array(self.code, [x.id for x in self.model.tokenize(shown)]).tobytes()
+        if len(self.runs) >= self.memo_words:
             self.runs.clear()
-            need = {x for _, letters, marks in split for x in (letters, marks) if x}
-        order = list(need)
-        self.runs.update(zip(order, self._raw(order), strict=True))
-        self.runs[""] = b""
-        self.words.update((word, self.runs[letters] + self.runs[marks]) for word, letters, marks in split)
-        self.words.update(zip((w for w, _ in whole), self._raw([t for _, t in whole]), strict=True))
-
-    def _bytes(self, texts: list[str | None]) -> list[bytes]:
-        """Serialized ids of a few texts."""
-        lists = [(t or "").encode().split() for t in texts]
-        seen: set[bytes] = set()
-        for words in lists:
-            seen.update(words)
-        new = seen.difference(self.words)
-        long = {w for w in new if len(w) > LONG_WORD}
-        if len(self.words) + len(new) > self.memo_words:
-            self.words.clear()
-            new = seen
-        self._learn(list(new - long))
-        once = dict(zip(long, self._raw([w.decode() for w in long]), strict=True))
-        if once:
-            return [b"".join([once[w] if w in once else self.words[w] for w in words]) for words in lists]
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        if len(run) <= LONG_WORD:
+            self.runs[run] = found
+        return found
+
+    def encode_word(self, text: str) -> bytes:
+        """Serialized ids of text without white space."""
+        plain = PLAIN.fullmatch(text)
+        if not plain:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        letters, marks = plain[1].lower(), plain[2]
+        runs = self.runs
+        found = runs.get(letters) or self._pieces(letters)
+        return found + (runs.get(marks) or self._pieces(marks)) if marks else found
 
     def serialized(self, texts: list[str | None]):
         """Yield each text's ids as little-endian bytes; nulls count as empty."""
-        start = size = 0
-        for end, text in enumerate(texts, 1):
-            size += len(text or "")
-            if size >= SLICE_CHARS or end == len(texts):
-                yield from self._bytes(texts[start:end])
-                start, size = end, 0
+        get = self.words.__getitem__
+        for text in texts:
+            yield b"".join(map(get, (text or "").encode().split()))
 
     def ids(self, texts: list[str | None], end_id: int | None = None):
         """Yield each text's ids as an array, followed by ``end_id``."""
