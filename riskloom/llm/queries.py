@@ -13,8 +13,10 @@ from .common import table
 from .decontam import MASKS, SHARE, SPAN, WINDOW, passages
 from .line_dedup import dedup_lines
 from .packing import pack
+from .pii import pseudonyms
 from .simhash import near_components
 from .token_files import read_token_files, write_token_files
+from . import langid, toxicity
 from .token_counts import token_counts
 
 
@@ -39,6 +41,21 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return passages(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """The key is an example; a real one stays out of code."""
+    return pseudonyms(table(spark, folder, "documents", "doc_id", "text"), key="example key")
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{checkpoint_root(spark).rstrip('/')}/riskloom-tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, folder, "documents", "doc_id", "text"), place)
@@ -51,6 +68,9 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_token_files": op10_token_files,
 }
 LINE_DEDUP_SQL = """
