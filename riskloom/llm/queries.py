@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_root
 
+from .ann import nearest
 from .common import table
 from .decontam import MASKS, SHARE, SPAN, WINDOW, passages
 from .line_dedup import dedup_lines
@@ -33,6 +34,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
+    "op4_nearest": op4_nearest,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
