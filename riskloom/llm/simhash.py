@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import materialize
+from riskloom.session import materialize, shuffle_width
 
+from .common import fresh
 from .components import roots
 
 #: Generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the [23,12] Golay code, its length and radius.
@@ -177,3 +178,129 @@ def near_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
     return prints.join(known, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# Near-duplicate removal: shingles of five words, Jaccard similarity of 0.8 or more.
+#
+# At that similarity fingerprints differ in about 10 of 64 bits, beyond any covering that can be
+# replicated.  The covering therefore finds the closest pairs, and others become candidates where a
+# min-hash of their shingle sets is equal; every candidate is verified on the sets themselves.
+
+VIEWS = 8
+SIMILARITY = 0.8
+#: Candidates farther apart than this cannot be as similar; unrelated texts are about 32 bits apart.
+MOST_BITS = 24
+NEIGHBOURS = 3
+ALL_BITS = (1 << 64) - 1
+FEATURES = "doc_id long, body long, node long, print long, mins array<long>, shingles array<long>"
+
+
+def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else iter([b" ".join(words)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - size + 1))
+
+
+def _features(size: int):
+    odd = np.array([xxhash.xxh64_intdigest(b"view", k) | 1 for k in range(2 * VIEWS)], np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for doc_id, body, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = (text or b"").lower().split()
+                if not words:
+                    continue
+                every = _shingle_hashes(words, size)
+                ones = np.zeros(64, np.int64)
+                for k in range(0, len(every), CHUNK):
+                    part = every[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+                    ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                bits = np.packbits(2 * ones > len(every), bitorder="little")
+                sets = np.unique(every)
+                mixed = sets[None, :] * odd[:VIEWS, None]
+                mixed ^= mixed >> np.uint64(31)
+                mins = (mixed * odd[VIEWS:, None]).min(axis=1)
+                node = xxhash.xxh64_intdigest(sets.tobytes(), 1)
+                signed = lambda x: int(np.uint64(x).astype(np.int64))
+                values = (doc_id, body, signed(node), int.from_bytes(bits.tobytes(), "little", signed=True), mins.view(np.int64), sets.view(np.int64))
+                for column, value in zip(out, values):
+                    column.append(value)
+                if len(out[0]) >= 500:
+                    yield _feature_batch(out)
+                    out = [[] for _ in range(6)]
+            if out[0]:
+                yield _feature_batch(out)
+
+    return run
+
+
+def _feature_batch(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    names = [c.split()[0] for c in FEATURES.split(", ")]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _beside(batches):
+    """Each row with the next few of its bucket, over rows sorted by bucket and fingerprint."""
+    last: list[tuple] = []
+    for batch in batches:
+        a, b = [], []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for other in last:
+                if other[:2] == row[:2] and other[3] != row[3] and ((other[2] ^ row[2]) & ALL_BITS).bit_count() <= MOST_BITS:
+                    a.append(other[3])
+                    b.append(row[3])
+            last = [*last[-(NEIGHBOURS - 1) :], row]
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def similar_pairs(features: DataFrame, similarity: float) -> DataFrame:
+    """Verified pairs ``a, b`` of shingle sets (``node``)."""
+    spark = features.sparkSession
+    sets = materialize(features.groupBy("node").agg(F.first("print").alias("print"), F.first("mins").alias("mins"), F.first("shingles").alias("shingles")))
+    keyed = sets.select("node", "print", F.posexplode("mins").alias("view", "key"))
+    shared = keyed.groupBy("view", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    bucket = materialize(keyed.join(shared.select("view", "key", "first"), ["view", "key"]))
+    heads = bucket.where("node = first").select("view", "key", F.col("print").alias("head"))
+    star = bucket.where("node != first").join(heads, ["view", "key"])
+    star = star.where(F.bit_count(F.col("head").bitwiseXOR(F.col("print"))) <= MOST_BITS).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    beside = (
+        bucket.select("view", "key", "print", "node").repartitionByRange(shuffle_width(spark), "view", "key", "print", "node")
+        .sortWithinPartitions("view", "key", "print", "node").mapInArrow(_beside, "a long, b long")
+    )
+    prints = sets.groupBy("print").agg(F.min("node").alias("node"))
+    equal = sets.select("print", F.col("node").alias("b")).join(prints, "print").where("node != b").select(F.col("node").alias("a"), "b")
+    close = link_pairs(prints)
+    side = lambda name: prints.select(F.col("print").alias(name), F.col("node").alias(f"{name}_node"))
+    covered = close.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = star.union(beside).union(equal).union(covered)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    words = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    enough = common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common)
+    return pairs.join(words("a"), "a").join(words("b"), "b").where(enough).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies stays (the smallest id, null last); all columns kept.
+
+    Groups are the components of texts whose sets of ``size``-word shingles
+    have a Jaccard similarity of at least ``similarity``.  Candidates are
+    found by the fingerprints' covering and by equal min-hashes, and verified.
+    Null, empty and blank texts have no shingle and all stay.  Of equal rows
+    one stays.  An empty table gives no rows.
+    """
+    body = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), F.col("text").cast("binary").alias("text"))
+    features = materialize(keyed.mapInArrow(_features(size), FEATURES))
+    star = roots(similar_pairs(features, similarity))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "body")).alias("least")
+    nodes = features.groupBy("node").agg(least).join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = nodes.groupBy("root").agg(F.min("least").alias("least"))
+    doc, text = fresh(docs, "_doc", "_kept")
+    kept = kept.select(F.col("least.doc_id").alias(doc), F.col("least.body").alias(text))
+    blank = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (body == F.col(text))
+    chosen = docs.where(~blank).join(kept, same).dropDuplicates([doc, text]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.unionByName(docs.where(blank))
