@@ -134,33 +134,27 @@ def sound(rows: DataFrame, dimension: int | None = None) -> DataFrame:
 
 
 def _top(k: int):
-    """The best ``k`` candidates of each query among one chunk of a leaf: product, then smaller id."""
+    """The best candidates of each asking vector among one chunk of a leaf: product, then smaller id."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = pdf[~pdf["asks"]]
-        asking = pdf[pdf["asks"]]
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        members, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        none = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("asked", "int64"), ("vec_id", "int64"), ("score", "float64"))})
         if members.empty or asking.empty:
             return none
-        base = _matrix(members["vector"])
-        ids = members["ids"].to_numpy()
-        out = []
+        base, ids, out = _matrix(members["vector"]), members["ids"].to_numpy(), []
         for start in range(0, len(asking), 512):
             part = asking.iloc[start : start + 512]
             products = _matrix(part["vector"]) @ base.T
-            n = min(len(base), k + 1)
+            n = min(len(base), k)
             cut = -np.partition(-products, n - 1, axis=1)[:, n - 1]
-            for row, query_id, least in zip(products, part["vec_id"], cut):
-                near = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
-                pairs = [(-row[j], i) for j in near for i in ids[j] if i != query_id]
-                out += [(query_id, i, -s) for s, i in heapq.nsmallest(k, pairs)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64"}) if out else none
+            for row, asked, least in zip(products, part["asked"], cut):
+                pairs = [(-row[j], i) for j in np.flatnonzero(row >= least) for i in ids[j]]
+                out += [(asked, i, -s) for s, i in heapq.nsmallest(k, pairs)]
+        return pd.DataFrame(out, columns=["asked", "vec_id", "score"]).astype({"asked": "int64", "vec_id": "int64"})
 
     return run
 
 
-
-
 def _brute(queries: np.ndarray, k: int):
     """Each part's best candidates of every calibration query, with the leaf they lie in."""
 
@@ -196,13 +190,13 @@ def _deal(tree: Tree):
 def _walk(tree: Tree, visits: int):
     def run(batches):
         for batch in batches:
-            for query_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for asked, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 scaled = np.asarray(vector) * (tree.longest / max(1e-300, float(np.linalg.norm(vector))))
                 leaves = tree.visit(np.append(scaled, 0.0), visits)
                 n = len(leaves)
                 yield pa.record_batch(
-                    [pa.array([query_id] * n, pa.int64()), pa.array([vector] * n, pa.list_(pa.float64())), pa.array(leaves, pa.int64())],
-                    ["vec_id", "vector", "leaf"],
+                    [pa.array([asked] * n, pa.int64()), pa.array([vector] * n, pa.list_(pa.float64())), pa.array(leaves, pa.int64())],
+                    ["asked", "vector", "leaf"],
                 )
 
     return run
@@ -253,19 +247,43 @@ def nearest(rows: DataFrame, step: int = 20, k: int = 20, recall: float = RECALL
     sample = groups.where(F.pmod(F.xxhash64("vector"), F.lit(step_rows)) == 0).select("vector").limit(2 * SAMPLE_ROWS).toPandas()
     tree = grow(_matrix(sample["vector"]) if len(sample) else np.zeros((1, lengths.n)), longest, max(LEAF_ROWS // step_rows, len(sample) // MOST_LEAVES, 4))
     dealt = materialize(groups.mapInArrow(_deal(tree), "vector array<double>, ids array<long>, leaf long"))
-    asked = usable.where(F.col("vec_id") % step == 0).distinct()
-    checks = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION_QUERIES).toPandas()
+    queries = usable.where(F.col("vec_id") % step == 0).distinct()
+    # A vector is asked once, however many ids it has; its smallest id names it.
+    askers = materialize(queries.groupBy("vector").agg(F.min("vec_id").alias("asked")))
+    checks = askers.orderBy(F.xxhash64("asked"), "asked").limit(CALIBRATION_QUERIES).toPandas()
     visits = calibrate(tree, dealt, _matrix(checks["vector"]) if len(checks) else np.zeros((0, lengths.n)), k, recall)
-    sizes = dealt.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("chunks"))
-    members = dealt.join(sizes, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int").alias("chunk"), F.lit(None).cast("long").alias("vec_id"), "vector", "ids",
-        F.lit(False).alias("asks"),
+    visitors = materialize(askers.select("asked", "vector").mapInArrow(_walk(tree, visits), "asked long, vector array<double>, leaf long"))
+    # Members and visitors of a leaf are both dealt to chunks; every pair of chunks is one group of bounded size.
+    chunks = lambda frame, name: frame.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias(name))
+    sizes = chunks(dealt, "across").join(chunks(visitors, "down"), "leaf")
+    columns = ["leaf", "one", "two", "asked", "vector", "ids", "asks"]
+    members = dealt.join(sizes, "leaf").withColumns(
+        {
+            "one": F.pmod(F.xxhash64("vector"), F.col("across")).cast("int"), "two": F.explode(F.sequence(F.lit(0), F.col("down") - 1)),
+            "asked": F.lit(None).cast("long"), "asks": F.lit(False),
+        }
+    )
+    asking = visitors.join(sizes, "leaf").withColumns(
+        {
+            "two": F.pmod(F.xxhash64("asked"), F.col("down")).cast("int"), "one": F.explode(F.sequence(F.lit(0), F.col("across") - 1)),
+            "ids": F.lit(None).cast("array<long>"), "asks": F.lit(True),
+        }
+    )
+    found = members.select(columns).union(asking.select(columns)).groupBy("leaf", "one", "two").applyInPandas(
+        _top(k + 1), "asked long, vec_id long, score double"
     )
-    visitors = asked.mapInArrow(_walk(tree, visits), "vec_id long, vector array<double>, leaf long").join(sizes, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "vector", F.lit(None).cast("array<long>").alias("ids"),
-        F.lit(True).alias("asks"),
+    place = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
+    best = found.groupBy("asked", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(place))
+    lists = best.where(F.col("place") <= k + 1).groupBy("asked").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), "vec_id", "score"))).alias("near")
     )
-    found = members.unionByName(visitors).groupBy("leaf", "chunk").applyInPandas(_top(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ids = queries.join(askers, "vector").select(F.col("vec_id").alias("query_id"), "asked")
+    own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    told = ids.join(lists, "asked").select("query_id", F.posexplode(F.slice(own, 1, k)).alias("at", "hit"))
+    told = told.select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", "hit.score")
+    several = queries.groupBy("vec_id").count().where("count > 1").limit(1).count()
+    if not several:
+        return told
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    merged = told.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(rank))
+    return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
