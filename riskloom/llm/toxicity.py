@@ -165,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     )
     short = docs.where(F.char_length("text") <= FIT_CHARS)
     rows = (
-        short.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").toPandas()
+        # The sample's bound holds for the broadcast too, so texts are not shuffled.
+        short.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").toPandas()
         .sort_values(["doc_id", "text"], kind="stable")
     )
     return fit_texts(list(rows["text"]), [int(y) for y in rows["toxic"]])
