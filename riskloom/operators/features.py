@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.order_stats import Place, exact_quantiles, nth_smallest, nth_smallest_long
-from riskloom.functions.timing import DAY
+from riskloom.functions.timing import DAY, as_instant
 from riskloom.schema import (
     CATEGORICAL, KEY, LABEL, LEAK_PREFIXES, LEAK_SUBSTRINGS, NEVER_FEATURES, number_or, numeric_columns,
     quoted, require, to_double,
@@ -138,7 +138,8 @@ def time_cut(df: DataFrame, share: float = 0.8, time_col: str = "t0", key: str =
     Rows are counted per calendar day, so nothing is sorted globally; only the
     day, then the single time and its keys that straddle the cut are looked
     into.  The result is two literals: both sides of the split are plain
-    filters that reach the scan.  Needs (key, time) to be unique and not null.
+    filters that reach the scan.  Needs (key, time) to be unique; rows without
+    a time come last.
     """
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
     day = F.floor(micros / F.lit(DAY * 1_000_000))
@@ -146,11 +147,14 @@ def time_cut(df: DataFrame, share: float = 0.8, time_col: str = "t0", key: str =
         F.count("*").alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi")
     )
     # At most one row per calendar day is left for these windows.
-    ends = per_day.withColumn("end", F.sum("n").over(Window.orderBy("day")))
-    rows = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(float(share)))
+    ends = per_day.withColumn("end", F.sum("n").over(Window.orderBy(F.asc_nulls_last("day"))))
+    everything = Window.partitionBy()
+    # Rows without a time count as the last ones; the cut lies among those with a time.
+    timed = F.coalesce(F.sum(F.when(F.col("day").isNotNull(), F.col("n"))).over(everything), F.lit(0))
+    rows = F.least(F.floor(F.sum("n").over(everything) * F.lit(float(share))), timed)
     home = (
         ends.withColumn("rows", rows)
-        .filter((F.col("end") >= F.col("rows")) & (F.col("rows") > 0)).orderBy("day").first()
+        .filter(F.col("day").isNotNull() & (F.col("end") >= F.col("rows")) & (F.col("rows") > 0)).orderBy("day").first()
     )
     if home is None:
         return TimeCut(0)
@@ -175,9 +179,11 @@ def time_cut(df: DataFrame, share: float = 0.8, time_col: str = "t0", key: str =
 def time_split(
     df: DataFrame, share: float = 0.8, time_col: str = "t0", key: str = KEY
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test parts by time position."""
+    """Train and test parts by time position; rows without a readable time are test rows."""
+    if isinstance(df.schema[time_col].dataType, T.StringType):
+        df = df.withColumn(time_col, as_instant(df, time_col))
     train = time_cut(df, share, time_col, key).is_train(time_col, key)
-    return df.filter(train), df.filter(~train)
+    return df.filter(train), df.filter(~F.coalesce(train, F.lit(False)))
 
 
 def undersample(

@@ -27,9 +27,19 @@ def plan_requests(requests: DataFrame, horizon: str = "horizon") -> DataFrame:
 
 
 def future_index(requests: DataFrame, as_of: datetime, align_to_epoch_week: bool = False) -> DataFrame:
-    """One row per request and future bucket start, from columns ``freq`` and ``hours``."""
+    """One row per request and future bucket start, from columns ``freq`` and ``hours``.
+
+    A request whose horizon can't be read or is too short for a single start
+    stays as one row without ``t0``; ``request_problem`` tells why.
+    """
+    starts = future_starts(F.col("freq"), F.col("hours"), as_of, align_to_epoch_week)
+    return requests.withColumn("t0", F.explode_outer(starts))
+
+
+def request_problem(as_of: datetime, align_to_epoch_week: bool = False) -> Column:
+    """What keeps a planned request from having a future start; NULL if nothing does."""
     starts = future_starts(F.col("freq"), F.col("hours"), as_of, align_to_epoch_week)
-    return requests.withColumn("t0", F.explode(starts))
+    return F.when(F.col("hours").isNull(), "unreadable").when(F.size(starts) <= 0, "too short")
 
 
 def carried_columns(columns: Iterable[str]) -> list[str]:
@@ -58,7 +68,11 @@ def last_snapshot(grid: DataFrame, keep: Iterable[str], time_col: str = "t0", de
     keep = list(keep)
     require(grid, [KEY, time_col, *keep], "snapshot")
     if dense:
-        last_time = grid.agg(F.max(time_col)).scalar()
+        per_area = grid.dropna(subset=[KEY]).groupBy(KEY).agg(F.max(time_col).alias("last"))
+        spread = per_area.agg(F.min("last").alias("lo"), F.max("last").alias("hi")).first()
+        if spread["lo"] != spread["hi"]:
+            raise ValueError("the grid is not dense: some areas end early")
+        last_time = F.lit(spread["hi"])
         return grid.filter(F.col(time_col) == last_time).select(KEY, *[quoted(c) for c in keep])
     row = F.struct(*[quoted(c) for c in keep])
     last = grid.dropna(subset=[KEY]).groupBy(KEY).agg(F.max_by(row, F.col(time_col)).alias("__row"))

@@ -43,20 +43,28 @@ def dense_grid(
 
     ``zero_filled`` columns are 0 on empty cells, all others NULL.  ``span``
     gives first and last step: two Columns that enclose all cells, or two
-    datetimes, outside of which cells are left out.  Without it the span comes
+    datetimes, outside of which cells are left out (their areas stay).  Without it the span comes
     from ``cells``.  ``partitions`` should follow the dense size, areas times
     steps; the default is the session's shuffle width.
     """
     step = F.expr(STEP_TEXT[time_col])
     t = F.col(time_col)
     lo, hi = span if span is not None else time_span(cells, time_col)
-    if isinstance(lo, datetime):
+    bounded = isinstance(lo, datetime)
+    if bounded:
         lo, hi = (F.date_trunc(STEP_UNIT[time_col], instant_literal(b)) for b in (lo, hi))
-        cells = cells.filter(t.between(lo, hi))
     by_area = Window.partitionBy(KEY).orderBy(time_col)
     # A fixed partition count keeps AQE from merging partitions by their sparse
     # size just before they grow to the dense size.
     placed = cells.repartition(partitions or shuffle_width(cells.sparkSession), KEY)
+    if bounded:
+        # The first cell of an area without any inside stands in, emptied, so that every known area is kept.
+        inside = t.between(lo, hi)
+        placed = placed.withColumns(
+            {"__inside": inside, "__n": F.count_if(inside).over(Window.partitionBy(KEY)), "__k": F.row_number().over(by_area)}
+        ).filter(F.col("__inside") | ((F.col("__n") == 0) & (F.col("__k") == 1)))
+        emptied = [F.when(F.col("__inside"), F.col(f"`{c}`")).alias(c) for c in cells.columns if c not in (KEY, time_col)]
+        placed = placed.select(KEY, F.when(F.col("__inside"), t).otherwise(lo).alias(time_col), *emptied)
     runs = placed.withColumns(
         {"__prev": F.lag(time_col).over(by_area), "__next": F.lead(time_col).over(by_area)}
     ).withColumns(

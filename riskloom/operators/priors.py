@@ -15,6 +15,7 @@ from riskloom.schema import COUNT, KEY, LABEL, label, number_or, quoted, require
 ROLLUP_WINDOWS = {"28d": 28, "180d": 180}
 PANEL_WINDOWS = {"3m": 90, "12m": 365}
 MICROS = 1_000_000
+TURN = ("block_id",)
 
 
 def add_priors(
@@ -33,6 +34,7 @@ def add_priors(
 
     ``shifted_hours``: labels in ``(t' - W, t']`` at the previous row ``t'``
     of the group, first row 0; the rate divides by the hours of the window.
+    Rows of one time are taken in the order of ``block_id``.
 
     All windows share one partitioning and order, hence one exchange and one
     Window node; no exchange when ``df`` is already laid out by area.
@@ -58,7 +60,8 @@ def add_priors(
             raise ValueError("look-back pruning needs mode='closed_left'")
         oldest = since - timedelta(days=max(windows.values()))
         df = df.filter(F.col(time_col) >= instant_literal(oldest))
-    df = df.drop(*[f"prior_{kind}_{s}" for kind in ("cnt", "p") for s in windows])
+    # A row without one of the keys belongs to no group, whatever way the groups are read.
+    df = df.drop(*[f"prior_{kind}_{s}" for kind in ("cnt", "p") for s in windows]).dropna(subset=group)
     y = number_or(F.col(LABEL), 0)
     if mode == "shifted_hours":
         out = _shifted(df.withColumn("__y", y), windows, group, time_col).drop("__y")
@@ -68,7 +71,6 @@ def add_priors(
     else:
         cells = (
             df.select(*group, time_col, y.alias("__y"))
-            .dropna(subset=group)
             .groupBy(*group, time_col)
             .agg(F.sum("__y").alias("__y"), F.count("*").alias("__n"))
         )
@@ -104,12 +106,15 @@ def _closed_left(df, windows, group, time_col):
 
 
 def _shifted(df, windows, group, time_col):
-    ordered = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(time_col)))
-    totals = {"__y_now": _until("__y", ordered, 0)}
+    by_group, time = Window.partitionBy(*group), F.unix_micros(F.col(time_col))
+    ordered = by_group.orderBy(time)
+    # Rows of one time follow each other by block, so that a row sees none that come later.
+    in_turn = by_group.orderBy(time, *[F.col(c) for c in TURN if c in df.columns])
+    totals = {"__y_now": F.sum("__y").over(in_turn.rowsBetween(Window.unboundedPreceding, 0))}
     own, counts, rates = {}, {}, {}
     for suffix, days in windows.items():
         totals[f"__y_{suffix}"] = _until("__y", ordered, -days * DAY * MICROS)
         own[f"__own_{suffix}"] = F.col("__y_now") - F.col(f"__y_{suffix}")
-        counts[f"prior_cnt_{suffix}"] = F.lag(f"__own_{suffix}", 1, 0.0).over(ordered)
+        counts[f"prior_cnt_{suffix}"] = F.lag(f"__own_{suffix}", 1, 0.0).over(in_turn)
         rates[f"prior_p_{suffix}"] = F.col(f"prior_cnt_{suffix}") / F.lit(days * 24.0)
     return df.withColumns(totals).withColumns(own).withColumns(counts).withColumns(rates).drop(*totals, *own)

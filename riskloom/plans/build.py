@@ -36,7 +36,7 @@ def labelled_panel(
     side_cols: Iterable[str] = SIDE_FEATURES,
     span: tuple | None = None,
     windows: dict[str, int] = PANEL_WINDOWS,
-    check: bool = False,
+    check: bool = True,
     partitions: int | None = None,
 ) -> DataFrame:
     """Raw incidents to a dense, labelled grid with side features and priors.
@@ -95,7 +95,7 @@ def window_grid(
     tz: str | None = None,
     prior_mode: str = "closed_left",
     utc_calendar: bool = False,
-    check: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """An hourly grid to local days, or to 7/30-day blocks counted from the run day.
 
@@ -116,6 +116,8 @@ def training_parts(
 ) -> tuple[DataFrame, DataFrame, Features]:
     """Time split, and the features that vary within the training part."""
     require(grid, [KEY, "t0", LABEL], "training grid")
+    if grid.schema["t0"].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date"):
+        grid = parsed_time(grid, "t0")
     if not {"year", "month", "day_of_week"} <= set(grid.columns):
         made = add_calendar(grid, "t0")
         grid = made.select(*grid.columns, *[c for c in ("year", "month", "day_of_week") if c not in grid.columns])

@@ -17,7 +17,9 @@ from riskloom.functions.timing import (
     add_calendar, anchored_bucket, auto_freq, horizon_hours, local_day, local_time, month_start, season, week_start,
 )
 from riskloom.operators import counts, evaluation, features, forecast, priors
+from riskloom.operators.grid import dense_grid
 from riskloom.operators.models import fit_single
+from riskloom.operators.rollup import rollup
 from riskloom.plans import build
 from riskloom.plans.fixtures import (
     DAY_RUN, HOUR_RUN, TZ, count_grid, daily_grid, day_incidents, future_scores, hour_incidents, keyed,
@@ -171,6 +173,15 @@ def q_future_index(spark, folder):
     return forecast.future_index(planned, DAY_RUN).select("c_custkey", "freq", "t0")
 
 
+@query("request_report")
+def q_request_report(spark, folder):
+    """Every request with the number of its future starts, or what is wrong with it."""
+    planned = forecast.plan_requests(_requests(spark, folder))
+    starts = F.count("t0").alias("starts")
+    rows = forecast.future_index(planned.withColumn("problem", forecast.request_problem(DAY_RUN)), DAY_RUN)
+    return rows.groupBy("c_custkey", "problem").agg(starts)
+
+
 # ---- counts, side features, grids
 
 @query("hourly_counts")
@@ -291,6 +302,26 @@ def q_prior_repeated_cells(spark, folder):
     return priors.add_priors(rows, {"28d": 28}, keys=())
 
 
+@query("prior_null_keys")
+def q_prior_null_keys(spark, folder):
+    """Priors of customers' order days, some without a calendar key."""
+    day = F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("t0")
+    rows = table(spark, folder, "orders").groupBy(F.col("o_custkey").cast("string").alias(KEY), day).agg(
+        F.max((F.col("o_totalprice") > 250000).cast("int")).alias(LABEL), F.max("o_orderkey").alias("k")
+    )
+    rows = rows.withColumn("day_of_week", F.when(F.col("k") % 5 != 0, (F.dayofweek("t0") + 5) % 7)).drop("k")
+    return priors.add_priors(rows, {"28d": 28}, unique_cells=True)
+
+
+@query("prior_shifted_blocks")
+def q_prior_shifted_blocks(spark, folder):
+    """Shifted priors where an area has several rows of one time, told apart by block."""
+    rows = keyed(day_incidents(spark, folder)).groupBy(KEY, F.col("dt").alias("t0"), F.floor(F.col("o_totalprice") / 50000).alias("block_id")).agg(
+        F.max((F.col("o_totalprice") % 2 < 1).cast("int")).alias(LABEL)
+    )
+    return priors.add_priors(rows, {"28d": 28}, keys=(), mode="shifted_hours")
+
+
 @query("prior_since")
 def q_prior_since(spark, folder):
     grid = add_calendar(daily_grid(spark, folder), "t0").select(KEY, "t0", LABEL, "day_of_week")
@@ -338,6 +369,26 @@ def q_rollup_anchored_month(spark, folder):
 
 # ---- forecasts scored by the last prior rate
 
+@query("rollup_missing_counts")
+def q_rollup_missing_counts(spark, folder):
+    """Fractional counts, some of them not a number, added up by week per customer."""
+    part = F.when(F.col("o_orderkey") % 7 == 0, float("nan")).when(F.col("o_orderkey") % 11 == 0, None).otherwise(0.25)
+    rows = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias(KEY), F.col("o_orderdate").cast("timestamp").alias("t0"), part.alias(COUNT)
+    )
+    return rollup(rows, week_start(F.col("t0"))).select(KEY, "t0", COUNT, LABEL)
+
+
+@query("grid_in_span")
+def q_grid_in_span(spark, folder):
+    """The daily grid of a fixed month: areas without an order in it are kept."""
+    raw = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias(KEY), F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("t0")
+    )
+    cells = raw.groupBy(KEY, "t0").agg(F.count("*").alias(COUNT))
+    return dense_grid(cells, "t0", (datetime(2000, 3, 1), datetime(2000, 3, 10)), (COUNT,))
+
+
 @query("last_snapshot")
 def q_last_snapshot(spark, folder):
     grid = standard_daily(spark, folder)
@@ -423,6 +474,16 @@ def q_time_split(spark, folder):
     return grid.withColumn("is_train", features.time_cut(grid, 0.8).is_train())
 
 
+@query("time_split_text")
+def q_time_split_text(spark, folder):
+    """The split of a grid whose times are text, some of them unreadable."""
+    bad = F.col("c_custkey") % 20 == 0
+    text = F.when(bad, "unknown").otherwise(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("c_custkey").cast("int")), "yyyy-MM-dd"))
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias(KEY), text.alias("t0"))
+    train, test = features.time_split(materialize(rows))
+    return train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)))
+
+
 @query("class_balance")
 def q_class_balance(spark, folder):
     balance = counts.class_balance(_train_part(spark, folder))

@@ -258,8 +258,14 @@ FROM events""",
   SELECT *, CASE freq WHEN '1D' THEN CAST(ceil(hours / 24) AS BIGINT) WHEN '1W' THEN CAST(ceil(hours / 168) AS BIGINT)
          ELSE greatest(1, CAST(ceil(hours / 720) AS BIGINT)) END AS steps FROM planned WHERE freq IS NOT NULL),
 stepped AS (SELECT c_custkey, freq, unnest(range(greatest(steps, 0))) AS i FROM sized)
-SELECT c_custkey, freq, CASE freq WHEN '1M' THEN TIMESTAMP '2001-08-02 09:30:00' ELSE TIMESTAMP '2001-08-02' END
+SELECT c_custkey, freq, NULL::TIMESTAMP AS t0 FROM planned WHERE c_custkey NOT IN (SELECT c_custkey FROM stepped)
+UNION ALL SELECT c_custkey, freq, CASE freq WHEN '1M' THEN TIMESTAMP '2001-08-02 09:30:00' ELSE TIMESTAMP '2001-08-02' END
   + to_days(CAST(i * CASE freq WHEN '1D' THEN 1 WHEN '1W' THEN 7 ELSE 30 END AS INTEGER)) AS t0 FROM stepped""",
+    "request_report": f"""WITH {HORIZON}, sized AS (
+  SELECT *, CASE freq WHEN '1D' THEN CAST(ceil(hours / 24) AS BIGINT) WHEN '1W' THEN CAST(ceil(hours / 168) AS BIGINT)
+         WHEN '1M' THEN greatest(1, CAST(ceil(hours / 720) AS BIGINT)) END AS steps FROM planned)
+SELECT c_custkey, CASE WHEN hours IS NULL THEN 'unreadable' WHEN steps <= 0 THEN 'too short' END AS problem,
+  greatest(coalesce(steps, 0), 0) AS starts FROM sized""",
     "hourly_counts": f"""WITH {HOUR}
 SELECT "GEOID", dt, count(*) AS crime_count, 1::INTEGER AS "Y_label", {_hour_calendar("dt")} FROM inc GROUP BY "GEOID", dt""",
     "hourly_sum": f"""WITH {HOUR}
@@ -303,6 +309,20 @@ w AS (SELECT "GEOID", t0, "Y_label", CAST({DOW} AS INTEGER) AS day_of_week FROM
     "prior_repeated_cells": f"""WITH {DAY}, r AS (
   SELECT "GEOID", dt AS t0, CAST(o_totalprice > 250000 AS INTEGER) AS "Y_label" FROM inc)
 SELECT *, {_prior("28d", "a")} FROM r WINDOW {_window("a", 28, '"GEOID"', "t0")}""",
+    "prior_null_keys": f"""WITH r AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS "GEOID", date_trunc('day', o_orderdate)::TIMESTAMP AS t0,
+         max(CAST(o_totalprice > 250000 AS INTEGER)) AS "Y_label", max(o_orderkey) AS k FROM orders GROUP BY 1, 2),
+d AS (SELECT * EXCLUDE (k), CAST({DOW} AS INTEGER) AS day_of_week FROM r WHERE k % 5 <> 0)
+SELECT *, {_prior("28d", "a")} FROM d WINDOW {_window("a", 28, '"GEOID", day_of_week', "t0")}""",
+    "prior_shifted_blocks": f"""WITH {DAY}, r AS (
+  SELECT "GEOID", dt AS t0, CAST(floor(o_totalprice / 50000) AS BIGINT) AS block_id,
+         max(CAST(o_totalprice % 2 < 1 AS INTEGER)) AS "Y_label" FROM inc GROUP BY 1, 2, 3),
+u AS (
+  SELECT *, sum("Y_label") OVER (PARTITION BY "GEOID" ORDER BY t0, block_id ROWS UNBOUNDED PRECEDING)
+    - coalesce(sum("Y_label") OVER (PARTITION BY "GEOID" ORDER BY t0
+        RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 28 DAY PRECEDING), 0) AS own FROM r),
+s AS (SELECT *, CAST(coalesce(lag(own) OVER (PARTITION BY "GEOID" ORDER BY t0, block_id), 0) AS BIGINT) AS c FROM u)
+SELECT "GEOID", t0, block_id, "Y_label", c AS prior_cnt_28d, c / 672.0::DOUBLE AS prior_p_28d FROM s""",
     "prior_since": f"""WITH {DAY}, {PANEL}
 SELECT "GEOID", t0, prior_cnt_3m, prior_p_3m FROM panel WHERE t0 >= TIMESTAMP '2001-01-01'""",
     "rollup_week": _coarse("time_bucket(INTERVAL 7 DAY, t0, TIMESTAMP '1970-01-01')"),
@@ -310,6 +330,15 @@ SELECT "GEOID", t0, prior_cnt_3m, prior_p_3m FROM panel WHERE t0 >= TIMESTAMP '2
     "rollup_local_day": _windowed_closed(LOCAL_DAY.format("dt")),
     "rollup_anchored": _windowed_closed(_anchored(7, "dt")),
     "rollup_anchored_month": f"{_windowed(_anchored(30, 'dt'))} {_shifted_priors('w')}",
+    "rollup_missing_counts": """WITH r AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS "GEOID", time_bucket(INTERVAL 7 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS t0,
+         CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN 0.25::DOUBLE END AS n FROM orders)
+SELECT "GEOID", t0, coalesce(sum(n), 0) AS crime_count, CAST(coalesce(sum(n), 0) > 0 AS INTEGER) AS "Y_label" FROM r GROUP BY 1, 2""",
+    "grid_in_span": """WITH c AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS "GEOID", date_trunc('day', o_orderdate)::TIMESTAMP AS t0, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT k."GEOID", d.t0, coalesce(c.n, 0) AS crime_count FROM (SELECT DISTINCT "GEOID" FROM c) k
+CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2000-03-01', TIMESTAMP '2000-03-10', INTERVAL 1 DAY)) AS t0) d
+LEFT JOIN c ON c."GEOID" = k."GEOID" AND c.t0 = d.t0""",
     "last_snapshot": f"WITH {DAY}, {SNAPSHOT} SELECT * FROM snap",
     "median_fill": f"""WITH {SEGMENT}, {DAY_GRID}, s AS (
   SELECT "GEOID", crime_count, o_totalprice FROM grid QUALIFY row_number() OVER (PARTITION BY "GEOID" ORDER BY t0 DESC) = 1)
@@ -333,6 +362,11 @@ SELECT "GEOID", t0, round(coalesce(o_totalprice, 0) + 1e-7, 4) AS o_totalprice,
 t AS (SELECT *, 0 AS hour_start, NULL::DOUBLE AS empty FROM train) {VALID_LINES}""",
     "time_split": f"""WITH {DAY}, {TRAIN}
 SELECT "GEOID", t0, pos <= CAST(floor(total * 0.8) AS BIGINT) AS is_train FROM placed""",
+    "time_split_text": """WITH r AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS "GEOID",
+         CASE WHEN c_custkey % 20 <> 0 THEN TIMESTAMP '2000-01-01' + to_days(CAST(c_custkey AS INTEGER)) END AS t0 FROM customer),
+placed AS (SELECT *, row_number() OVER (ORDER BY t0 NULLS LAST, "GEOID") AS pos, count(*) OVER () AS total FROM r)
+SELECT "GEOID", t0, t0 IS NOT NULL AND pos <= CAST(floor(total * 0.8) AS BIGINT) AS is_train FROM placed""",
     "class_balance": f"""WITH {DAY}, {TRAIN}, t AS (
   SELECT count(*) FILTER ("Y_label" = 1) AS pos, count(*) FILTER ("Y_label" = 0) AS neg, avg("Y_label") AS rate FROM train)
 SELECT pos, neg, round(rate + 1e-7, 6) AS y1_rate,

@@ -13,7 +13,6 @@ LABEL = "Y_label"
 COUNT = "crime_count"
 
 # Names and limits that users' files and reports rely on.
-EVENT_TIME_COLUMNS = ["datetime", "date", "time", "event_hour", "received_time"]
 SIDE_FEATURES = [
     "neighbor_crime_24h", "neighbor_crime_72h", "neighbor_crime_7d",
     "911_geo_hr_last3d", "911_geo_hr_last7d", "311_request_count",
@@ -97,8 +96,8 @@ def label(count: Column) -> Column:
 def normalize_key(df: DataFrame) -> DataFrame:
     """One string key column ``GEOID`` (or its alias ``geoid``), null keys dropped.
 
-    Floating point keys go through ``bigint`` so that 60750101.0 reads
-    ``60750101``.
+    A whole floating point key reads like an integer (60750101.0 as
+    ``60750101``); any other keeps its fraction, so 1.2 and 1.8 stay apart.
     """
     names = df.columns
     if KEY not in names and "geoid" not in names:
@@ -110,5 +109,6 @@ def normalize_key(df: DataFrame) -> DataFrame:
         df = df.withColumnRenamed("geoid", KEY)
     key = F.col(KEY)
     if isinstance(df.schema[KEY].dataType, T.FractionalType):
-        key = key.try_cast("bigint")
+        whole = key.try_cast("bigint")
+        key = F.when(whole == key, whole.cast("string")).otherwise(key.cast("string"))
     return df.withColumn(KEY, key.cast("string")).dropna(subset=[KEY])

@@ -72,6 +72,15 @@ def test_time_split_is_exact_and_disjoint(spark, monkeypatch, gather, share):
     assert got.equals(want.iloc[:cut].reset_index(drop=True)) and test.count() == len(want) - cut
 
 
+def test_time_split_keeps_rows_without_a_time(spark):
+    rows = [(f"a{i:03d}", f"2024-01-{i % 28 + 1:02d}" if i % 20 else "unknown") for i in range(1000)]
+    train, test = ft.time_split(spark.createDataFrame(rows, "GEOID string, t0 string"), 0.777)
+    assert (train.count(), test.count()) == (777, 223)
+    assert train.filter("t0 is null").count() == 0 and test.filter("t0 is null").count() == 50
+    late, rest = ft.time_split(spark.createDataFrame(rows, "GEOID string, t0 string"), 0.99)
+    assert (late.count(), rest.count()) == (950, 50)
+
+
 def test_time_split_inside_one_day(spark):
     df = spark.range(1000).select(
         F.format_string("a%03d", F.col("id") % 10).alias("GEOID"), F.timestamp_seconds(F.floor(F.col("id") / 10) * 60).alias("t0")
