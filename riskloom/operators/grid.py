@@ -57,17 +57,19 @@ def dense_grid(
     # A fixed partition count keeps AQE from merging partitions by their sparse
     # size just before they grow to the dense size.
     placed = cells.repartition(partitions or shuffle_width(cells.sparkSession), KEY)
+    beside = {"__prev": F.lag(time_col).over(by_area), "__next": F.lead(time_col).over(by_area)}
     if bounded:
         # The first cell of an area without any inside stands in, emptied, so that every known area is kept.
+        whole = by_area.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         inside = t.between(lo, hi)
-        placed = placed.withColumns(
-            {"__inside": inside, "__n": F.count_if(inside).over(Window.partitionBy(KEY)), "__k": F.row_number().over(by_area)}
-        ).filter(F.col("__inside") | ((F.col("__n") == 0) & (F.col("__k") == 1)))
-        emptied = [F.when(F.col("__inside"), F.col(f"`{c}`")).alias(c) for c in cells.columns if c not in (KEY, time_col)]
-        placed = placed.select(KEY, F.when(F.col("__inside"), t).otherwise(lo).alias(time_col), *emptied)
-    runs = placed.withColumns(
-        {"__prev": F.lag(time_col).over(by_area), "__next": F.lead(time_col).over(by_area)}
-    ).withColumns(
+        placed = placed.withColumns(beside | {"__n": F.count_if(inside).over(whole), "__k": F.row_number().over(by_area)})
+        placed = placed.filter(inside | ((F.col("__n") == 0) & (F.col("__k") == 1)))
+        emptied = [F.when(inside, F.col(f"`{c}`")).alias(c) for c in cells.columns if c not in (KEY, time_col)]
+        near = [F.when(F.col(c).between(lo, hi), F.col(c)).alias(c) for c in beside]
+        runs = placed.select(KEY, F.when(inside, t).otherwise(lo).alias(time_col), *emptied, *near)
+    else:
+        runs = placed.withColumns(beside)
+    runs = runs.withColumns(
         {
             "__from": F.when(F.col("__prev").isNull(), lo).otherwise(t),
             "__to": F.when(F.col("__next").isNull(), hi).otherwise(F.col("__next") - step),

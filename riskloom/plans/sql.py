@@ -322,7 +322,7 @@ u AS (
     - coalesce(sum("Y_label") OVER (PARTITION BY "GEOID" ORDER BY t0
         RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 28 DAY PRECEDING), 0) AS own FROM r),
 s AS (SELECT *, CAST(coalesce(lag(own) OVER (PARTITION BY "GEOID" ORDER BY t0, block_id), 0) AS BIGINT) AS c FROM u)
-SELECT "GEOID", t0, block_id, "Y_label", c AS prior_cnt_28d, c / 672.0::DOUBLE AS prior_p_28d FROM s""",
+SELECT "GEOID", t0, block_id, "Y_label", CAST(c AS DOUBLE) AS prior_cnt_28d, c / 672.0::DOUBLE AS prior_p_28d FROM s""",
     "prior_since": f"""WITH {DAY}, {PANEL}
 SELECT "GEOID", t0, prior_cnt_3m, prior_p_3m FROM panel WHERE t0 >= TIMESTAMP '2001-01-01'""",
     "rollup_week": _coarse("time_bucket(INTERVAL 7 DAY, t0, TIMESTAMP '1970-01-01')"),

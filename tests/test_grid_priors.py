@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions.timing import add_calendar
+from riskloom.functions.timing import add_calendar, week_start
 from riskloom.operators.counts import count_incidents, join_side_features, label_stats
 from riskloom.operators.grid import dense_grid
 from riskloom.operators.priors import add_priors

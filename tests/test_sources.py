@@ -127,7 +127,7 @@ def test_forecast_sinks(spark, tmp_path):
     write_forecast(df, str(tmp_path / "json"), "json")
     text = max((f.read_text(encoding="utf-8") for f in (tmp_path / "csv").glob("*.csv")), key=len)
     assert text == "GEOID,t0,prob,tier\na,2024-01-01T05:00:00Z,0.5,Yüksek\n"
-    record = json.loads(next((tmp_path / "json").glob("*.json")).read_text(encoding="utf-8"))
+    record = json.loads(max((f.read_text(encoding="utf-8") for f in (tmp_path / "json").glob("*.json")), key=len))
     assert record == {"GEOID": "a", "t0": "2024-01-01T05:00:00Z", "prob": 0.5, "tier": "Yüksek"}
     with pytest.raises(ValueError):
         write_forecast(df, str(tmp_path / "x"), "xml")
