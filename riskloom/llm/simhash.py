@@ -192,7 +192,7 @@ SIMILARITY = 0.8
 MOST_BITS = 24
 NEIGHBOURS = 3
 ALL_BITS = (1 << 64) - 1
-FEATURES = "doc_id long, body long, node long, print long, mins array<long>, shingles array<long>"
+FEATURES = "doc_id long, body long, node long, print long, mins array<long>"
 
 
 def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -205,7 +205,7 @@ def _features(size: int):
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for doc_id, body, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or b"").lower().split()
                 if not words:
@@ -222,12 +222,12 @@ def _features(size: int):
                 mins = (mixed * odd[VIEWS:, None]).min(axis=1)
                 node = xxhash.xxh64_intdigest(sets.tobytes(), 1)
                 signed = lambda x: int(np.uint64(x).astype(np.int64))
-                values = (doc_id, body, signed(node), int.from_bytes(bits.tobytes(), "little", signed=True), mins.view(np.int64), sets.view(np.int64))
+                values = (doc_id, body, signed(node), int.from_bytes(bits.tobytes(), "little", signed=True), mins.view(np.int64))
                 for column, value in zip(out, values):
                     column.append(value)
                 if len(out[0]) >= 500:
                     yield _feature_batch(out)
-                    out = [[] for _ in range(6)]
+                    out = [[] for _ in range(5)]
             if out[0]:
                 yield _feature_batch(out)
 
@@ -235,11 +235,24 @@ def _features(size: int):
 
 
 def _feature_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
     names = [c.split()[0] for c in FEATURES.split(", ")]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _sets(size: int):
+    """The set of shingle hashes of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                sets = [np.unique(_shingle_hashes((t or b"").lower().split(), size)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
 def _beside(batches):
     """Each row with the next few of its bucket, over rows sorted by bucket and fingerprint."""
     last: list[tuple] = []
@@ -255,10 +268,11 @@ def _beside(batches):
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def similar_pairs(features: DataFrame, similarity: float) -> DataFrame:
-    """Verified pairs ``a, b`` of shingle sets (``node``)."""
+def similar_pairs(features: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Verified pairs ``a, b`` of shingle sets (``node``); ``texts`` has the texts by ``doc_id, body``."""
     spark = features.sparkSession
-    sets = materialize(features.groupBy("node").agg(F.first("print").alias("print"), F.first("mins").alias("mins"), F.first("shingles").alias("shingles")))
+    rep = F.min(F.struct("doc_id", "body")).alias("rep")
+    sets = materialize(features.groupBy("node").agg(F.first("print").alias("print"), F.first("mins").alias("mins"), rep))
     keyed = sets.select("node", "print", F.posexplode("mins").alias("view", "key"))
     shared = keyed.groupBy("view", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     bucket = materialize(keyed.join(shared.select("view", "key", "first"), ["view", "key"]))
@@ -275,8 +289,13 @@ def similar_pairs(features: DataFrame, similarity: float) -> DataFrame:
     side = lambda name: prints.select(F.col("print").alias(name), F.col("node").alias(f"{name}_node"))
     covered = close.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     pairs = star.union(beside).union(equal).union(covered)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    words = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Only texts that take part in a pair are hashed once more for their sets.
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "rep"), "node")
+    named = named.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.body").alias("rep_body"))
+    own = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("body") == F.col("rep_body"))
+    shingles = materialize(texts.join(named, own).select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>"))
+    words = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     enough = common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common)
     return pairs.join(words("a"), "a").join(words("b"), "b").where(enough).select("a", "b")
@@ -294,7 +313,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIM
     body = F.xxhash64(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), F.col("text").cast("binary").alias("text"))
     features = materialize(keyed.mapInArrow(_features(size), FEATURES))
-    star = roots(similar_pairs(features, similarity))
+    star = roots(similar_pairs(features, keyed, size, similarity))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "body")).alias("least")
     nodes = features.groupBy("node").agg(least).join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = nodes.groupBy("root").agg(F.min("least").alias("least"))
