@@ -28,7 +28,7 @@ from .common import is_training_row
 #: At most about so many labelled rows of each class are used to fit; texts above the length are not.
 FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2_000, 4_000, 32_768
 FOLDS, HELD = 5, 0
-WINDOW, STEP, LEVEL = 48, 24, 3
+WINDOW, STEP, LEVEL = 48, 24, 9
 DICTIONARY_BYTES, TOXIC_BYTES, DICTIONARY_ROWS = 65_536, 32_768, 1_000
 #: A word is toxic from this many distinct contexts, this likelihood ratio and this ratio of rates.
 LEAST_CONTEXTS, LEAST_RATIO, LEAST_RATE = 3, 18.0, 3.0
