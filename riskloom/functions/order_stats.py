@@ -131,7 +131,7 @@ def _resolve(df: DataFrame, rest: list[_Rank]) -> None:
         return
     picks = F.array(*[F.struct(F.lit(i).alias("id"), r.value().alias("v")) for i, r in enumerate(rest)])
     values = (
-        df.select(F.explode(picks).alias("p")).select("p.id", "p.v").dropna()
+        df.select(F.explode(F.filter(picks, lambda p: p["v"].isNotNull())).alias("p")).select("p.id", "p.v")
         .groupBy("id", "v").agg(F.count("*").alias("n"))
     )
     ends = values.withColumn("end", F.sum("n").over(Window.partitionBy("id").orderBy("v")))
@@ -141,17 +141,13 @@ def _resolve(df: DataFrame, rest: list[_Rank]) -> None:
         rest[row["id"]].answer = row["v"]
 
 
-def nth_smallest(df: DataFrame, column: str, n: int, size: int):
+def nth_smallest(df: DataFrame, column: str, n: int):
     """The ``n``-th smallest value (from 1) of a column that may be of any type.
 
-    ``size`` is the row count.  Small inputs are ranked in one window.  Larger
-    ones are range-partitioned and sorted, numbered per partition and written
+    Values are range-partitioned and sorted, numbered per partition and written
     once; the counts per partition then tell which one holds the answer.
     """
     values = df.select(F.col(column).alias("v"))
-    if size <= GATHER_LIMIT:
-        ranked = values.withColumn("r", F.row_number().over(Window.orderBy("v")))
-        return ranked.filter(F.col("r") == n).first()["v"]
     numbered = materialize(
         values.repartitionByRange("v").sortWithinPartitions("v")
         .withColumn("id", F.monotonically_increasing_id())

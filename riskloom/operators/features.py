@@ -172,7 +172,7 @@ def time_cut(df: DataFrame, share: float = 0.8, time_col: str = "t0", key: str =
     if place.needed == place.equals:
         last = bucket.agg(F.max(key)).first()[0]
     else:
-        last = nth_smallest(bucket, key, place.needed, place.equals)
+        last = nth_smallest(bucket, key, place.needed)
     return TimeCut(home["rows"], time, last)
 
 

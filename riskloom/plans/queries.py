@@ -577,10 +577,10 @@ def q_model_stacked(spark, folder):
     """Test metrics of a small stacked ensemble on the nation grid."""
     grid = materialize(standard_daily(spark, folder))
     sizes = {
-        "boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": None, "forest": {"numTrees": 2, "maxDepth": 3},
+        "boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": {"maxIter": 2, "maxDepth": 2}, "forest": {"numTrees": 2, "maxDepth": 3},
         "linear": {"maxIter": 3}, "meta": {"maxIter": 5},
     }
-    return build.train(grid, "1D", kind="stacked", sizes=sizes, folds=2)[1]
+    return build.train(grid, "1D", kind="stacked", sizes=sizes)[1]
 
 
 def oracle_sql() -> dict[str, str]:
