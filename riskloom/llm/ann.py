@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskloom.session import materialize
 
 SAMPLE_ROWS = 20_000
-BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 64, 4_096
+BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 1_024, 4_096
 ROUNDS = 8
 CHUNK_ROWS = 4_096
 #: Calibration: so many queries, this recall, and leaf visits that widen by this factor.
