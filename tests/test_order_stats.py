@@ -51,7 +51,7 @@ def test_quantiles_of_small_and_empty_columns(spark):
 def test_nth_smallest_text(spark, tiny_gather, n):
     words = [f"k{(i * 7919) % 100003:06d}" for i in range(5000)]
     df = spark.createDataFrame([(w,) for w in words], "w string").repartition(7)
-    assert nth_smallest(df, "w", n, len(words)) == sorted(words)[n - 1]
+    assert nth_smallest(df, "w", n) == sorted(words)[n - 1]
 
 
 def test_nth_smallest_long_with_repeats_and_extremes(spark):
