@@ -34,6 +34,17 @@ FOUND = re.compile(
     """,
     re.X | re.A,
 )
+WORD_END = re.compile(r"(?<=\w)(?!\w)", re.A)
+#: Characters of an IBAN by country; of other countries any length that passes the check is taken.
+IBAN_SIZES = {
+    country: int(size)
+    for size, countries in (part.split(":") for part in (
+        "15:NO 16:BE 18:DK,FO,FI,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL "
+        "29:BR,PS,QA,UA 30:JO,KW,MU 31:MT"
+    ).split())
+    for country in countries.split(",")
+}
 HINT = re.compile(r"[0-9@]")
 
 
@@ -158,6 +169,13 @@ def _iban(text: str, number) -> str | None:
     return _refill(text, f"{country}{_iban_check(country, new):02d}{new}")
 
 
+def _iban_ends(match: re.Match) -> list[int]:
+    """Where the IBAN may end: at its country's length, else the longest first; the pattern may have taken in the next word."""
+    ends = [m.start() for m in WORD_END.finditer(match.string, match.start() + 1, match.end())]
+    size = lambda end: sum(c != " " for c in match.string[match.start() : end])
+    return sorted(ends, key=lambda end: (size(end) != IBAN_SIZES.get(match[0][:2]), -end))
+
+
 def _mail(text: str, number) -> str | None:
     name, domain = text.rsplit("@", 1)
     return f"{_mixed(name, lambda v, size: number(v, size))}@{domain}"
@@ -174,13 +192,17 @@ def pseudonymise(text: str, key: bytes, undo: bool = False) -> tuple[str, dict[s
     out, done, place = [], 0, 0
     while match := FOUND.search(text, place):
         kind = next(k for k in KINDS if match[k] is not None)
-        new = RULES[kind](match[0], lambda value, size, kind=kind: permute(value, size, key, kind, undo))
+        number = lambda value, size, kind=kind: permute(value, size, key, kind, undo)
+        for end in _iban_ends(match) if kind == "iban" else (match.end(),):
+            new = RULES[kind](text[match.start() : end], number)
+            if new is not None:
+                break
         if new is None:
             place = match.start() + 1
             continue
         counts[kind] = counts.get(kind, 0) + 1
         out += [text[done : match.start()], new]
-        done = place = match.end()
+        done = place = end
     return "".join(out) + text[done:], counts
 
 

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from riskloom.llm.common import table
-from riskloom.llm.pii import KINDS, luhn_digit, permute, pseudonymise, pseudonyms
+from riskloom.llm.pii import KINDS, _iban_check, luhn_digit, permute, pseudonymise, pseudonyms
 
 KEY = b"test key"
 VALUES = [
@@ -47,6 +47,19 @@ def test_links_and_neighbours():
     assert counts == {"card": 2, "ip": 1, "phone": 1, "mail": 1}
 
 
+@pytest.mark.parametrize("country, size", [("NO", 15), ("BE", 16), ("AT", 20), ("LU", 20), ("DE", 22), ("ES", 24), ("SE", 24), ("PL", 28)])
+@pytest.mark.parametrize("behind", ["", " BIC", " 2024", " A", " AB 12", " ABCD EFGH IJ", " BE68 5390 0754 7034", ", BIC", "\n2024"])
+def test_iban_before_a_short_word(country, size, behind):
+    for k in range(40):
+        rest = str(7**30 + k)[: size - 4].zfill(size - 4)
+        plain = f"{country}{_iban_check(country, rest):02d}{rest}"
+        for value in (plain, " ".join(plain[i : i + 4] for i in range(0, size, 4))):
+            new, counts = pseudonymise(f"to {value}{behind}", KEY)
+            want, _ = pseudonymise(f"to {value}", KEY)
+            assert counts == {"iban": 1 + behind.startswith(" BE68")} and value not in new and new.startswith(want)
+            assert pseudonymise(new, KEY, undo=True)[0] == f"to {value}{behind}"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("0123456789 -./@()+abDEé\n"), max_size=60))
 def test_any_text(text):
