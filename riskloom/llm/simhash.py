@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import materialize, shuffle_width
+from riskloom.session import materialize
 
 from .common import fresh
 from .components import roots
@@ -184,15 +184,19 @@ def near_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
 #
 # At that similarity fingerprints differ in about 10 of 64 bits, beyond any covering that can be
 # replicated.  The covering therefore finds the closest pairs, and others become candidates where a
-# min-hash of their shingle sets is equal; every candidate is verified on the sets themselves.
+# min-hash of their shingle sets is equal.  A small bucket of equal min-hashes is compared whole.  The
+# members of crowded buckets are split by their rarest shingles: similar sets share one of the first
+# fifth of each, in any common order.  Every candidate is verified on the sets themselves.
 
 VIEWS = 8
 SIMILARITY = 0.8
 #: Candidates farther apart than this cannot be as similar; unrelated texts are about 32 bits apart.
 MOST_BITS = 24
-NEIGHBOURS = 3
-ALL_BITS = (1 << 64) - 1
-FEATURES = "doc_id long, body long, node long, print long, mins array<long>"
+#: A bucket or shingle with more texts than this is crowded.
+FULL_BUCKET = 16
+#: Bits of a set's parity sketch: sets differ in at least as many shingles as their sketches do in bits.
+SKETCH = 1024
+FEATURES = "doc_id long, body long, node long, print long, size int, sketch array<long>, mins array<long>"
 
 
 def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -205,29 +209,32 @@ def _features(size: int):
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(7)]
             for doc_id, body, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or b"").lower().split()
                 if not words:
                     continue
                 every = _shingle_hashes(words, size)
+                sets = np.unique(every)
                 ones = np.zeros(64, np.int64)
                 for k in range(0, len(every), CHUNK):
                     part = every[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
                     ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 bits = np.packbits(2 * ones > len(every), bitorder="little")
-                sets = np.unique(every)
+                odds = np.bincount((sets >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1
+                sketch = np.packbits(odds.astype(bool)).view(np.int64)
                 mixed = sets[None, :] * odd[:VIEWS, None]
                 mixed ^= mixed >> np.uint64(31)
                 mins = (mixed * odd[VIEWS:, None]).min(axis=1)
                 node = xxhash.xxh64_intdigest(sets.tobytes(), 1)
                 signed = lambda x: int(np.uint64(x).astype(np.int64))
-                values = (doc_id, body, signed(node), int.from_bytes(bits.tobytes(), "little", signed=True), mins.view(np.int64))
+                mark = int.from_bytes(bits.tobytes(), "little", signed=True)
+                values = (doc_id, body, signed(node), mark, len(sets), sketch, mins.view(np.int64))
                 for column, value in zip(out, values):
                     column.append(value)
                 if len(out[0]) >= 500:
                     yield _feature_batch(out)
-                    out = [[] for _ in range(5)]
+                    out = [[] for _ in range(7)]
             if out[0]:
                 yield _feature_batch(out)
 
@@ -235,7 +242,7 @@ def _features(size: int):
 
 
 def _feature_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.list_(pa.int64())] * 2
     names = [c.split()[0] for c in FEATURES.split(", ")]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -253,52 +260,101 @@ def _sets(size: int):
     return run
 
 
-def _beside(batches):
-    """Each row with the next few of its bucket, over rows sorted by bucket and fingerprint."""
-    last: list[tuple] = []
-    for batch in batches:
-        a, b = [], []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for other in last:
-                if other[:2] == row[:2] and other[3] != row[3] and ((other[2] ^ row[2]) & ALL_BITS).bit_count() <= MOST_BITS:
-                    a.append(other[3])
-                    b.append(row[3])
-            last = [*last[-(NEIGHBOURS - 1) :], row]
-        if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def similar_pairs(features: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Verified pairs ``a, b`` of shingle sets (``node``); ``texts`` has the texts by ``doc_id, body``."""
-    spark = features.sparkSession
+def _prefixes(similarity: float):
+    """Rare shingles at the head of each set, in the order of rare before common ones.
+
+    Two similar sets share a shingle of the first ``head`` of the larger and
+    the first ``start`` of the smaller set.  ``common`` tells that the head
+    (``head_common``) or start (``start_common``) reaches common shingles.
+    """
+
+    def run(batches):
+        for batch in batches:
+            nodes, sizes, heads, starts, keys = [], [], [], [], []
+            for node, own, common in zip(*(batch.column(k) for k in range(3)), strict=True):
+                own = np.asarray(own.values)
+                common = np.asarray(common.values) if common.is_valid else own[:0]
+                rare = np.setdiff1d(own, common, assume_unique=True)
+                # Rounding may only make a head longer.
+                head = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
+                start = len(own) - int(np.ceil(2 * similarity / (1 + similarity) * len(own) - 1e-6)) + 1
+                nodes.append(node.as_py())
+                sizes.append(len(own))
+                heads.append(len(rare) < head)
+                starts.append(len(rare) < start)
+                keys.append([{"key": int(x), "start": k < start} for k, x in enumerate(np.sort(rare)[:head])])
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.struct([("key", pa.int64()), ("start", pa.bool_())])))
+            names = ["node", "size", "head_common", "start_common", "keys"]
+            yield pa.record_batch([pa.array(v, k) for v, k in zip((nodes, sizes, heads, starts, keys), kinds, strict=True)], names)
+
+    return run
+
+
+PREFIXES = "node long, size int, head_common boolean, start_common boolean, keys array<struct<key:long,start:boolean>>"
+
+
+def similar_pairs(features: DataFrame, texts: DataFrame, size: int, similarity: float, full: int = FULL_BUCKET) -> DataFrame:
+    """Verified pairs ``a, b`` of shingle sets (``node``); ``texts`` has the texts by ``doc_id, body``.
+
+    The pairs connect all sets that are similar and have an equal min-hash.
+    """
     rep = F.min(F.struct("doc_id", "body")).alias("rep")
-    sets = materialize(features.groupBy("node").agg(F.first("print").alias("print"), F.first("mins").alias("mins"), rep))
-    keyed = sets.select("node", "print", F.posexplode("mins").alias("view", "key"))
+    sets = materialize(features.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "size", "sketch", "mins")], rep))
+    own = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("body") == F.col("rep_body"))
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sided = lambda frame, name, *keys: frame.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in frame.columns if c not in keys])
+    #: a is the smaller set (by node where equal), and not too small.
+    sizes = F.col("a_size") >= F.lit(similarity) * F.col("b_size")
+    smaller = F.struct("a_size", "a_node") < F.struct("b_size", "b_node")
+
+    def shingles_of(nodes: DataFrame) -> DataFrame:
+        named = nodes.join(sets.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.body").alias("rep_body")), "node")
+        return materialize(texts.join(named, own).select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda name: sets.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"), F.col("print").alias(f"{name}_print"))
+        apart = sum((F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("b_sketch", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+        # At the least similarity the sets differ in so many shingles, and their sketches in no more bits.
+        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + 1e-6
+        pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= most) & (F.bit_count(F.col("a_print").bitwiseXOR(F.col("b_print"))) <= MOST_BITS)).select("a", "b"))
+        # Only texts that take part in a pair are hashed once more for their sets.
+        shingles = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        words = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        enough = common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common)
+        return materialize(pairs.join(words("a"), "a").join(words("b"), "b").where(enough).select("a", "b"))
+
+    keyed = sets.select("node", "size", F.posexplode("mins").alias("view", "key"))
     shared = keyed.groupBy("view", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    bucket = materialize(keyed.join(shared.select("view", "key", "first"), ["view", "key"]))
-    heads = bucket.where("node = first").select("view", "key", F.col("print").alias("head"))
-    star = bucket.where("node != first").join(heads, ["view", "key"])
-    star = star.where(F.bit_count(F.col("head").bitwiseXOR(F.col("print"))) <= MOST_BITS).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    beside = (
-        bucket.select("view", "key", "print", "node").repartitionByRange(shuffle_width(spark), "view", "key", "print", "node")
-        .sortWithinPartitions("view", "key", "print", "node").mapInArrow(_beside, "a long, b long")
-    )
+    bucket = materialize(keyed.join(shared, ["view", "key"]))
+    small = bucket.where(F.col("n") <= full).select("view", "key", "node", "size")
+    inside = sided(small, "a", "view", "key").join(sided(small, "b", "view", "key"), ["view", "key"]).where(smaller & sizes)
+    crowded = bucket.where(F.col("n") > full)
+    star = crowded.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+
+    many = shingles_of(crowded.select("node").distinct())
+    places = many.select("node", F.explode("shingles").alias("key"))
+    common = places.groupBy("key").count().where(F.col("count") > full).select("key")
+    held = places.join(common, "key").groupBy("node").agg(F.collect_set("key").alias("common"))
+    heads = materialize(many.join(held, "node", "left").select("node", "shingles", "common").mapInArrow(_prefixes(similarity), PREFIXES))
+    rare = heads.select("node", "size", F.explode("keys").alias("at")).select("at.key", "at.start", "node", "size")
+    split = sided(rare.where("start").drop("start"), "a", "key").join(sided(rare.drop("start"), "b", "key"), "key").where(smaller & sizes)
+
     prints = sets.groupBy("print").agg(F.min("node").alias("node"))
     equal = sets.select("print", F.col("node").alias("b")).join(prints, "print").where("node != b").select(F.col("node").alias("a"), "b")
     close = link_pairs(prints)
     side = lambda name: prints.select(F.col("print").alias(name), F.col("node").alias(f"{name}_node"))
     covered = close.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    pairs = star.union(beside).union(equal).union(covered)
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # Only texts that take part in a pair are hashed once more for their sets.
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "rep"), "node")
-    named = named.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.body").alias("rep_body"))
-    own = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("body") == F.col("rep_body"))
-    shingles = materialize(texts.join(named, own).select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>"))
-    words = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    enough = common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common)
-    return pairs.join(words("a"), "a").join(words("b"), "b").where(enough).select("a", "b")
+    named = [frame.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")) for frame in (inside, split)]
+    pairs = verified(ordered(star.union(named[0]).union(named[1]).union(equal).union(covered)))
+
+    # Sets alike but for common shingles: in crowded buckets those not connected so far are compared.
+    alike = heads.where("head_common").select("node", "start_common").distinct().join(roots(pairs), "node", "left")
+    alike = alike.select("node", "start_common", F.coalesce("root", "node").alias("root"))
+    rest = materialize(crowded.select("view", "key", "node", "size").join(alike, "node"))
+    apart = F.col("a_root") != F.col("b_root")
+    late = sided(rest.where("start_common"), "a", "view", "key").join(sided(rest, "b", "view", "key"), ["view", "key"]).where(smaller & sizes & apart)
+    return pairs.union(verified(ordered(late.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -306,7 +362,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIM
 
     Groups are the components of texts whose sets of ``size``-word shingles
     have a Jaccard similarity of at least ``similarity``.  Candidates are
-    found by the fingerprints' covering and by equal min-hashes, and verified.
+    found by the fingerprints' covering and by equal min-hashes, in crowded
+    buckets by their rarest shingles, and verified.
     Null, empty and blank texts have no shingle and all stay.  Of equal rows
     one stays.  An empty table gives no rows.
     """

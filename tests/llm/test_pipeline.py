@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from riskloom.llm.common import table
 from riskloom.llm.simhash import drop_near_duplicates
@@ -40,6 +42,30 @@ def brute_kept(rows):
     return sorted(map(str, groups.values()))
 
 
+def brute_kept_by_matrix(rows):
+    """As brute_kept, for many rows of ids that ascend."""
+    sets, holders = [shingles(text) for _, text in rows], {}
+    for k, own in enumerate(sets):
+        for x in own:
+            holders.setdefault(x, []).append(k)
+    size = np.array([len(x) for x in sets])
+    often = [k for k in holders.values() if len(k) > 50]
+    held = np.zeros((len(rows), len(often)), np.float32)
+    for place, at in enumerate(often):
+        held[at, place] = 1
+    common = (held @ held.T).astype(np.int64)
+    for at in holders.values():
+        if len(at) <= 50:
+            common[np.ix_(at, at)] += 1
+    least = np.arange(len(rows))
+    near = common >= 0.8 * (size[:, None] + size - common)
+    while True:
+        new = np.array([least[own].min() for own in near])
+        if (new == least).all():
+            return sorted(str(rows[k][0]) for k in np.unique(least))
+        least = new
+
+
 def test_near_duplicates(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
@@ -60,6 +86,36 @@ def test_near_duplicates(spark):
     assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_near_duplicates_among_texts_of_one_template(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    template = [word() for _ in range(300)]
+    rows = []
+    for pair in range(1_500):
+        base = template + [word() for _ in range(100)]
+        copy = list(base)
+        for _ in range(rng.choice([3, 6])):
+            copy[rng.randrange(len(copy))] = word()
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(copy))]
+    # Own parts too short to fill the heads of the sets, chains of copies, and many copies of one text.
+    for own in (60, 45):
+        for pair in range(150):
+            base = template + [word() for _ in range(own)]
+            copy = list(base)
+            for k in range(3):
+                copy[rng.randrange(len(copy))] = word()
+                rows.append((len(rows), " ".join(copy)))
+    many = [word() for _ in range(200)]
+    for _ in range(300):
+        copy = list(many)
+        for _ in range(rng.choice([2, 5, 9])):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((len(rows), " ".join(copy)))
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "", "") for i, t in rows], SCHEMA)
+    got = sorted(str(r.doc_id) for r in drop_near_duplicates(frame).collect())
+    assert got == brute_kept_by_matrix(rows)
+
+
 def test_stages_on_the_whole_table(spark, data):
     docs = table(spark, data, "documents")
     before = docs
