@@ -190,8 +190,6 @@ def near_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
 
 VIEWS = 8
 SIMILARITY = 0.8
-#: Candidates farther apart than this cannot be as similar; unrelated texts are about 32 bits apart.
-MOST_BITS = 24
 #: A bucket or shingle with more texts than this is crowded.
 FULL_BUCKET = 16
 #: Bits of a set's parity sketch: sets differ in at least as many shingles as their sketches do in bits.
@@ -214,13 +212,12 @@ def _features(size: int):
                 words = (text or b"").lower().split()
                 if not words:
                     continue
-                every = _shingle_hashes(words, size)
-                sets = np.unique(every)
+                sets = np.unique(_shingle_hashes(words, size))
                 ones = np.zeros(64, np.int64)
-                for k in range(0, len(every), CHUNK):
-                    part = every[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+                for k in range(0, len(sets), CHUNK):
+                    part = sets[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
                     ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                bits = np.packbits(2 * ones > len(every), bitorder="little")
+                bits = np.packbits(2 * ones > len(sets), bitorder="little")
                 odds = np.bincount((sets >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1
                 sketch = np.packbits(odds.astype(bool)).view(np.int64)
                 mixed = sets[None, :] * odd[:VIEWS, None]
@@ -312,11 +309,11 @@ def similar_pairs(features: DataFrame, texts: DataFrame, size: int, similarity:
         return materialize(texts.join(named, own).select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda name: sets.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"), F.col("print").alias(f"{name}_print"))
+        side = lambda name: sets.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
         apart = sum((F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("b_sketch", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
         # At the least similarity the sets differ in so many shingles, and their sketches in no more bits.
         most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + 1e-6
-        pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= most) & (F.bit_count(F.col("a_print").bitwiseXOR(F.col("b_print"))) <= MOST_BITS)).select("a", "b"))
+        pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"))
         # Only texts that take part in a pair are hashed once more for their sets.
         shingles = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         words = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))

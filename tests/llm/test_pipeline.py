@@ -116,6 +116,20 @@ def test_near_duplicates_among_texts_of_one_template(spark):
     assert got == brute_kept_by_matrix(rows)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for times in (5, 20, 60):
+        base, line = [word() for _ in range(100)], [word() for _ in range(12)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + line * times))]
+        first, second = [word() for _ in range(150)], [word() for _ in range(150)]
+        rows += [(len(rows), " ".join(first * times + second)), (len(rows) + 1, " ".join(first + second * times))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "", "") for i, t in rows], SCHEMA)
+    got = sorted(str(r.doc_id) for r in drop_near_duplicates(frame).collect())
+    assert got == brute_kept(rows) and len(got) == 6
+
+
 def test_stages_on_the_whole_table(spark, data):
     docs = table(spark, data, "documents")
     before = docs
