@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-#: 1: the token counts; 0: it may differ.  Any single substitution among 15 tokens leaves a hit.
+#: 1: the token counts; 0: it may differ.  Each of the 78 ways to lose 2 of 13 tokens leaves a hit.
+COVER = ("10100101111", "11111011", "11011100011")
+#: The masks of the SQL: a hit of theirs that passes has a hit of COVER too, not the other way round.
 MASKS = ("11101110111", "11011011011", "11110001111")
 SPAN = len(MASKS[0])
 #: A passage counts if so many tokens in a row agree at this share of places.
@@ -30,18 +32,25 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(words: str, at: str) -> Column:
+def _run(size: int) -> str:
+    """The mask for windows of ``size`` tokens: the run that stays whole wherever the others differ."""
+    equal = -int(-size * SHARE // 1)
+    return "1" * -(-equal // (size - equal + 1))
+
+
+def _seeds(words: str, at: str, masks: list[str]) -> Column:
     """One hash for each mask of the tokens at and after a position."""
     return F.array(
         *[
-            F.xxhash64(F.lit(k), *[F.get(words, F.col(at) + o) for o, bit in enumerate(mask) if bit == "1"])
-            for k, mask in enumerate(MASKS)
+            F.xxhash64(F.lit(mask), *[F.get(words, F.col(at) + o) for o, bit in enumerate(mask) if bit == "1"])
+            for mask in masks
         ]
     )
 
 
-def _positions(words: str) -> Column:
-    last = F.size(words) - SPAN
+def _positions(words: str, masks: list[str]) -> Column:
+    """Where the shortest mask fits; a longer one gives a seed of fewer tokens at the end."""
+    last = F.size(words) - min(map(len, masks))
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
@@ -73,22 +82,31 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep:
     """
     keep = keep or ["doc_id"]
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= SPAN)
-    total = items.agg(F.sum((F.size("item") - SPAN + 1) * len(MASKS))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SEEDS))
+    # Windows of other lengths, those of shorter items too, have their own mask.
+    lengths = items.groupBy(F.least(F.size("item"), F.lit(window)).alias("width")).agg(F.sum(F.size("item"))).collect()
+    kinds = {width: list(COVER) if width == WINDOW else [_run(width)] for width, _ in lengths}
+    masks = sorted({m for own in kinds.values() for m in own}) or list(COVER)
+    blocks = max(1, -(-sum(total * len(kinds[width]) for width, total in lengths) // BLOCK_SEEDS))
     words, place, seed = fresh(docs, "_words", "_place", "_seed")
     seeds = (
         docs.select(*keep, tokens(F.col("text")).alias(words))
-        .select(*keep, words, F.explode(_positions(words)).alias(place))
-        .select(*keep, words, place, F.explode(_seeds(words, place)).alias(seed))
+        .select(*keep, words, F.explode(_positions(words, masks)).alias(place))
+        .select(*keep, words, place, F.explode(_seeds(words, place, masks)).alias(seed))
     )
     found = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block) if blocks > 1 else items
-        tests = (
-            own.select("item_id", "item", F.explode(_positions("item")).alias("item_place"))
-            .select(F.explode(_seeds("item", "item_place")).alias("item_seed"), "item_id", "item_place", "item")
-        )
-        found.append(seeds.join(F.broadcast(tests), F.col(seed) == F.col("item_seed")))
+        parts = [
+            own.where(F.least(F.size("item"), F.lit(window)) == width)
+            .select("item_id", "item", F.explode(_positions("item", kind)).alias("item_place"))
+            .select(F.explode(_seeds("item", "item_place", kind)).alias("item_seed"), "item_id", "item_place", "item")
+            for width, kind in kinds.items()
+        ]
+        if parts:
+            found.append(seeds.join(F.broadcast(reduce(DataFrame.unionAll, parts)), F.col(seed) == F.col("item_seed")))
+    if not found:
+        none = items.select(F.lit(0).cast("long").alias("item_seed"), "item_id", F.lit(0).alias("item_place"), "item")
+        found = [seeds.join(F.broadcast(none), F.col(seed) == F.col("item_seed"))]
     hits = reduce(DataFrame.unionAll, found)
     # The few tokens beside the item are cut out before rows leave the generated loop over positions.
     start = F.greatest(F.col("_diagonal"), F.lit(0)) + 1

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from itertools import combinations
 
 import duckdb
 
@@ -42,6 +44,42 @@ def test_odd_rows(spark, monkeypatch):
     assert clean_documents(docs, spark.createDataFrame([], ITEMS)).count() == docs.count()
 
 
+def test_masks_cover_the_acceptance_rule():
+    for size in range(11, 14):
+        masks = decontam.COVER if size == decontam.WINDOW else [decontam._run(size)]
+        lost = size - math.ceil(size * decontam.SHARE)
+        fits = [{at + k for k, bit in enumerate(m) if bit == "1"} for m in masks for at in range(size - len(m) + 1)]
+        assert all(any(not fit & set(places) for fit in fits) for places in combinations(range(size), lost))
+
+
+def test_windows_without_seeds(spark):
+    """Every substitution of up to three tokens, against all windows of all alignments."""
+    rng = random.Random(8)
+    items = [(n, words(n, n)) for n in (11, 12, 13, 15, 16, 60)]
+    rows = []
+    for n, item in items:
+        for count in (1, 2, 3):
+            chosen = list(combinations(range(n), count))
+            for places in rng.sample(chosen, min(len(chosen), 110)):
+                copy = ["CHANGED" if k in places else w for k, w in enumerate(item)]
+                rows.append(words(rng.randrange(4), len(rows)) + copy + words(rng.randrange(4), len(rows) + 1))
+    sixty = items[-1][1]
+    rows += [["CHANGED" if k % 5 == 4 else w for k, w in enumerate(sixty)], sixty[2:13], sixty[-11:], sixty[-10:], items[0][1][2:], items[0][1][3:]]
+    want = set()
+    for doc_id, text in enumerate(rows):
+        for item_id, item in items:
+            n, best, width = len(item), None, min(13, len(item))
+            for d in range(1 - n, len(text)):
+                same = [0 <= k + d < len(text) and text[k + d] == w for k, w in enumerate(item)]
+                if max(sum(same[k : k + width]) for k in range(n - width + 1)) >= math.ceil(width * 0.8):
+                    best = max(best or (0, 0), (sum(same), -d)) if best else (sum(same), -d)
+            if best:
+                want.add((doc_id, item_id, best[0], n, -best[1]))
+    docs = spark.createDataFrame([(k, " ".join(t), "", "", "") for k, t in enumerate(rows)], DOCS)
+    got = passages(docs, spark.createDataFrame([(n, " ".join(i)) for n, i in items], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.n_match, r.n_item, r.doc_start) for r in got} == want and len(got) == len(want) > 800
+
+
 def test_whole_table_against_sql_and_exact_windows(spark, data):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
