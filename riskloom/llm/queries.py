@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from riskloom.session import checkpoint_root
 
 from .ann import nearest
+from .best_fit import best_fit
 from .common import table
 from .decontam import MASKS, SHARE, SPAN, WINDOW, passages
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import pseudonyms
+from .repair import repair
 from .simhash import near_components
+from .spelling import count_words, runs, variants
 from .token_files import read_token_files, write_token_files
-from . import langid, toxicity
+from . import langid, sql, toxicity
 from .token_counts import token_counts
 
 
@@ -67,6 +70,43 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(spark, place)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations damaged by a hash of conversation and turn: a twentieth of the rows each is dropped, emptied,
+    stripped of its sentence ends, repeated, and given to the user."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key.cast("binary")) % 20).alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.where("kind != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies)).drop("col")
+
+
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    report = repair(damaged(conversations)).withColumnRenamed("conv_id", "id")
+    all_ids = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_ids.join(report, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 199th run by hash loses a code point first; a null id is an empty one."""
+    found = runs(table(spark, folder, "documents", "doc_id", "text"))
+    mark = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary"))
+    place = (mark % F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), place), F.expr("substring(run, cast(mark % char_length(run) as int) + 2)"))
+    words = found.withColumn("mark", mark).select(F.when(F.col("mark") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return variants(count_words(words))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +118,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_token_files": op10_token_files,
+    "op11_conversations": op11_conversations,
+    "op12_best_fit": op12_best_fit,
+    "op13_spelling": op13_spelling,
 }
 LINE_DEDUP_SQL = """
 with lines as (
@@ -140,4 +183,7 @@ select doc_id, item_id, cast(m as bigint) as n_match, cast(n as bigint) as n_ite
 from ranked where r = 1
 """
 
-ORACLE_SQL = {"op2_line_dedup": LINE_DEDUP_SQL, "op6_decontamination": DECONTAMINATION_SQL}
+ORACLE_SQL = {
+    "op2_line_dedup": LINE_DEDUP_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op11_conversations": sql.REPAIR,
+    "op13_spelling": sql.SPELLING,
+}
