@@ -63,7 +63,11 @@ def _oriented(words: DataFrame) -> DataFrame:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """``node, label, child, final``: edges between branches, starts and ends; ``final`` is the word that ends at the child."""
+    """``node, label, child, final, least, most``: edges between branches, starts and ends.
+
+    ``final`` is the word that ends at the child; words below it are ``least``
+    to ``most`` characters longer than the child's prefix.
+    """
     oriented = _oriented(words)
     size = F.char_length("word")
     prefixes = oriented.select("*", F.explode(F.sequence("least", size)).alias("depth")).withColumn(
@@ -82,9 +86,9 @@ def trie_edges(words: DataFrame) -> DataFrame:
     edges = steps.select(
         _node(F.col("word"), begin, F.col("reversed")).alias("node"), F.substring("word", begin + 1, end - begin).alias("label"),
         _node(F.col("word"), end, F.col("reversed")).alias("child"),
-        F.when(end == size, F.when(F.col("reversed"), F.reverse("word")).otherwise(F.col("word"))).alias("final"),
+        F.when(end == size, F.when(F.col("reversed"), F.reverse("word")).otherwise(F.col("word"))).alias("final"), (size - end).alias("left"),
     )
-    return edges.groupBy("node", "label", "child").agg(F.max("final").alias("final"))
+    return edges.groupBy("node", "label", "child").agg(F.max("final").alias("final"), F.min("left").alias("least"), F.max("left").alias("most"))
 
 
 def _moves(word: str, at: int, edits: int, label: str) -> list[tuple[int, int]]:
@@ -113,12 +117,13 @@ def _advance(batches):
     names = [c.split()[0] for c in STEP.split(", ")]
     for batch in batches:
         out: list[tuple] = []
-        for word, reversed_, at, edits, label, child, final in zip(*(c.to_pylist() for c in batch.columns)):
+        for word, reversed_, at, edits, label, child, final, least, most in zip(*(c.to_pylist() for c in batch.columns)):
             for position, spent in _moves(word, at, edits, label):
-                left = len(word) - position
-                if final is not None and left == 1 - spent:
+                left, open_ = len(word) - position, 1 - spent
+                if final is not None and left == open_:
                     out.append((word, reversed_, position, child, spent, final))
-                if left > 0 or not spent:
+                # On to where longer words lie, if one of them is of a length that can be reached.
+                if most and least - open_ <= left <= most + open_:
                     out.append((word, reversed_, position, child, spent, None))
         if out:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names)
@@ -139,7 +144,11 @@ def near_words(words: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     while True:
         fits = (F.col("edits") == 0) | (F.substring("label", 1, 1) == F.substring("word", F.col("position") + 1, F.lit(1)))
-        met = frontier.join(edges, "node").where(fits).select("word", "reversed", "position", "edits", "label", "child", "final")
+        left = F.char_length("word") - F.col("position") - F.char_length("label")
+        reach = left.between(F.col("least") - 1 + F.col("edits"), F.col("most") + 1 - F.col("edits"))
+        met = frontier.join(edges, "node").where(fits & reach).select(
+            "word", "reversed", "position", "edits", "label", "child", "final", "least", "most"
+        )
         level = materialize(met.mapInArrow(_advance, STEP))
         found.append(level.where("near is not null"))
         frontier = level.where("near is null").select(*STATE)
