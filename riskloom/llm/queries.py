@@ -98,8 +98,8 @@ def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
-    """Every 199th run by hash loses a code point first; a null id is an empty one."""
-    found = runs(table(spark, folder, "documents", "doc_id", "text"))
+    """Every 199th run by hash loses a code point first (so shorter runs give no word); a null id is an empty one."""
+    found = runs(table(spark, folder, "documents", "doc_id", "text"), min_chars=6)
     mark = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary"))
     place = (mark % F.char_length("run")).cast("int")
     shorter = F.concat(F.substring("run", F.lit(1), place), F.expr("substring(run, cast(mark % char_length(run) as int) + 2)"))

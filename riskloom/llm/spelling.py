@@ -24,16 +24,16 @@ from riskloom.session import materialize
 
 from .common import ascii_lower
 
-RUN = "[A-Za-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 #: Words up to this length start at the root.
 SHORT = 3
 STATE = ["word", "reversed", "position", "node", "edits"]
 STEP = "word string, reversed boolean, position int, node long, edits int, near string"
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """``doc_id, run``: every maximal run of letters of whole texts, A-Z lower-cased."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), F.lit(0))
+def runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """``doc_id, run``: every maximal run of at least so many letters of whole texts, A-Z lower-cased."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"{LETTERS}{{{min_chars},}}"), F.lit(0))
     return docs.select("doc_id", F.explode(found).alias("run")).select("doc_id", ascii_lower(F.col("run")).alias("run"))
 
 

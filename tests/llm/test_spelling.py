@@ -63,6 +63,7 @@ def test_odd_tables(spark):
     assert variants(spark.createDataFrame([], SCHEMA)).collect() == []
     docs = spark.createDataFrame([(1, "Été ÉTÉ x2y\nz"), (None, None), (2, ""), (3, "w" * 300_000)], "doc_id long, text string")
     assert Counter(r.run for r in runs(docs).collect() if r.doc_id == 1) == {"Été": 1, "ÉtÉ": 1, "x": 1, "y": 1, "z": 1}
+    assert [r.run for r in runs(docs, min_chars=3).collect() if r.doc_id != 3] == ["Été", "ÉtÉ"]
     counted = count_words(docs.select("doc_id", docs.text.alias("word")), min_chars=2, min_count=1)
     assert counted.count() == 2
 
