@@ -13,13 +13,15 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Dates in this range are permuted among themselves.
+#: Dates in this range are permuted, among those that are written alike.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("mail", "iban", "ip", "card", "ssn", "date", "phone")
 FOUND = re.compile(
@@ -124,6 +126,24 @@ def _ip(text: str, number) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+@cache
+def _date_classes() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Days alike in how they can be written: the days of each class, and every day's class and place in it.
+
+    A class fixes whether day and month have one digit or two, and whether the
+    day can be read as a month; so a pseudonym reads in the same order and has
+    fields of the same width, in whatever style the date was written.
+    """
+    days = np.arange(FIRST_DAY, LAST_DAY + 1)
+    found = [datetime.date.fromordinal(int(d)) for d in days]
+    group = np.array([2 * ((d.day > 9) + (d.day > 12)) + (d.month > 9) for d in found])
+    members = [days[group == g] for g in range(6)]
+    place = np.empty(len(days), np.int64)
+    for own in members:
+        place[own - FIRST_DAY] = np.arange(len(own))
+    return members, group, place
+
+
 def _date(text: str, number) -> str | None:
     mark = next(c for c in text if not c.isdigit())
     parts = text.split(mark)
@@ -135,10 +155,11 @@ def _date(text: str, number) -> str | None:
         except ValueError:
             continue
         if FIRST_DAY <= day <= LAST_DAY:
-            new = datetime.date.fromordinal(FIRST_DAY + number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-            shown = {"y": f"{new.year:04d}", "m": str(new.month), "d": str(new.day)}
-            wide = len(parts[0]) == 2 or len(parts[1]) == 2 or order == "ymd"
-            return mark.join(shown[c].zfill(2) if wide else shown[c] for c in order)
+            members, group, place = _date_classes()
+            own = members[group[day - FIRST_DAY]]
+            new = datetime.date.fromordinal(int(own[number(int(place[day - FIRST_DAY]), len(own))]))
+            shown = {"y": new.year, "m": new.month, "d": new.day}
+            return mark.join(str(shown[c]).zfill(len(part)) for c, part in zip(order, parts))
     return None
 
 
@@ -227,6 +248,7 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     A null text stays null and an empty one empty, with counts of zero; a null
     ``doc_id`` and repeated rows stay; an empty table gives no rows; other
     columns are ignored.  Values that fail their format's check are left alone.
+    Very long texts are searched whole, in one pass.
     Keep ``key`` secret: who has it can undo the pseudonyms.
     """
     schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS)

@@ -1,8 +1,10 @@
+import datetime
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from riskloom.llm.common import table
-from riskloom.llm.pii import KINDS, _iban_check, luhn_digit, permute, pseudonymise, pseudonyms
+from riskloom.llm.pii import FIRST_DAY, KINDS, LAST_DAY, _date, _iban_check, luhn_digit, permute, pseudonymise, pseudonyms
 
 KEY = b"test key"
 VALUES = [
@@ -31,7 +33,7 @@ def test_values_change_within_their_format(kind, value):
     again, counted = pseudonymise(new, KEY, undo=True)
     assert again == text and counted == counts
     shape = lambda s: "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in s)
-    if kind not in ("ip", "date"):
+    if kind != "ip":
         assert shape(new) == shape(text)
 
 
@@ -40,6 +42,32 @@ def test_invalid_values_stay(text):
     assert pseudonymise(text, KEY) == (text, {})
 
 
+def test_dates_are_permuted_within_their_shape():
+    """Every day of the range in every order and style: undone, of the same widths, and linked as the days are."""
+    day, last, seen = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31), set()
+    while day <= last:
+        y, m, d = day.year, day.month, day.day
+        iso, _ = pseudonymise(f"{y}-{m:02d}-{d:02d}", KEY)
+        assert iso not in seen
+        seen.add(iso)
+        ny, nm, nd = map(int, iso.split("-"))
+        forms = {f"{d}.{m}.{y}": f"{nd}.{nm}.{ny}", f"{m}/{d}/{y}": f"{nm}/{nd}/{ny}", f"{m:02d}/{d:02d}/{y}": f"{nm:02d}/{nd:02d}/{ny}"}
+        if d > 12:
+            forms |= {f"{d}/{m}/{y}": f"{nd}/{nm}/{ny}", f"{d:02d}/{m:02d}/{y}": f"{nd:02d}/{nm:02d}/{ny}"}
+        text, new = " ".join(forms), " ".join(forms.values())
+        assert pseudonymise(text, KEY) == (new, {"date": len(forms)})
+        assert pseudonymise(new, KEY, undo=True)[0] == text
+        assert [len(x) for x in forms] == [len(x) for x in forms.values()]
+        day += datetime.timedelta(1 if y in (1900, 2000, 2024, 2099) else 7)
+
+
+def test_all_days_have_pseudonyms_of_their_own():
+    days = [datetime.date.fromordinal(k) for k in range(FIRST_DAY, LAST_DAY + 1)]
+    for style in ("{d}/{m}/{y}", "{m:02d}/{d:02d}/{y}"):
+        texts = [style.format(d=x.day, m=x.month, y=x.year) for x in days if style[1] == "m" or x.day > 12]
+        assert len({_date(t, lambda v, size: permute(v, size, KEY, "date")) for t in texts}) == len(texts)
+
+
 def test_links_and_neighbours():
     new, counts = pseudonymise("4041894974608795 10.0.0.1 +1 (988) 555-2485 4041-8949-7460-8795 a.b@c.de", KEY)
     first, *_, last, _mail = new.split(" ")
