@@ -3,8 +3,8 @@
 A suffix automaton of each language's labelled text tells, for any text, the
 longest match from each place on.  Cutting a text greedily into such matches
 gives phrases; the language that needs the fewest phrases for the characters
-wins.  Texts are parsed in short windows side by side, one table look-up a
-character and language.
+wins.  Every character of the samples counts, in whatever script.  Texts are
+parsed in short windows side by side, one step a character and language.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ FOLDS, HELD = 3, 1
 EXCERPTS, EXCERPT_CHARS = 120, 200
 #: All automata together stay below this many characters of text.
 ALL_CHARS = 1_500_000
-SYMBOLS = 63
 WINDOW = 512
 PART_CHARS = 3_000_000
 UNKNOWN = "und"
@@ -71,40 +70,77 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(codes: list[int], width: int) -> np.ndarray:
-    """By state and code: twice the next state, plus one where a phrase ends and the next begins."""
+@dataclass
+class Transitions:
+    """An automaton as a double array: state ``s`` has a move by code ``c`` where ``owner[base[s] + c]`` is ``s``.
+
+    ``move`` holds four times the next state plus the phrases that end there;
+    ``restart`` by code what happens where a state has no move.
+    """
+
+    base: np.ndarray
+    owner: np.ndarray
+    move: np.ndarray
+    restart: np.ndarray
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = self.base[state] + code
+        return np.where(self.owner[at] == state, self.move[at], self.restart[code])
+
+
+def transitions(codes: list[int], symbols: int) -> Transitions:
+    """Moves of the suffix automaton of ``codes``; codes run from 1 to ``symbols``, 0 is never learned.
+
+    A character of another language or none ends two phrases: the one it
+    breaks off and itself, as nothing learned stands for it.
+    """
     moves = suffix_automaton(codes)
-    first = np.ones(width, np.int32)  # back to the start, one phrase more
+    restart = np.full(symbols + 1, 2, np.int32)
     for code, to in moves[0].items():
-        first[code] = 2 * to + 1
-    table = np.tile(first, (len(moves), 1))
+        restart[code] = 4 * to + 1
+    taken = np.zeros(sum(map(len, moves)) + 4 * symbols + 64, bool)
+    base, at = np.zeros(len(moves), np.int64), 0
+    # States with several moves first, most moves first: each at the next offset where all its places are free.
+    for state in sorted((k for k, own in enumerate(moves) if len(own) > 1), key=lambda k: -len(moves[k])):
+        own = np.fromiter(moves[state], np.int64, len(moves[state]))
+        while taken[at + own].any():
+            at += 1
+            if at + symbols >= len(taken):
+                taken = np.append(taken, np.zeros(len(taken), bool))
+        base[state] = at
+        taken[at + own] = True
+    # A single move goes to any free place whose offset isn't negative.
+    single = [(k, next(iter(own))) for k, own in enumerate(moves) if len(own) == 1]
+    taken = np.append(taken, np.zeros(symbols + len(single), bool))
+    places = np.flatnonzero(~taken[symbols:])[: len(single)] + symbols
+    for (state, code), place in zip(single, places.tolist()):
+        base[state] = place - code
+    taken[places] = True
+    size = int(np.flatnonzero(taken).max(initial=0)) + symbols + 2
+    owner, move = np.full(size, -1, np.int32), np.zeros(size, np.int32)
     for state, own in enumerate(moves):
         for code, to in own.items():
-            table[state, code] = 2 * to
-    return table
+            owner[base[state] + code], move[base[state] + code] = state, 4 * to
+    return Transitions(base, owner, move, restart)
 
 
 @dataclass
 class LanguageModel:
-    """Languages, the code of every character, and one table for each language."""
+    """Languages, the code of every character (all that occur in any sample), and an automaton for each language."""
 
     languages: list[str]
     alphabet: np.ndarray
-    tables: list[np.ndarray]
+    automata: list[Transitions]
 
 
 def fit_texts(samples: dict[str, list[str]]) -> LanguageModel:
     languages = sorted(lang for lang, texts in samples.items() if any(map(simplified, texts)))
     room = ALL_CHARS // max(1, len(languages))
     joined = {lang: " ".join(map(simplified, samples[lang]))[:room] for lang in languages}
-    values, counts = np.unique(np.concatenate([_code_points(t) for t in joined.values()] or [np.empty(0, "<u4")]), return_counts=True)
-    common = values[np.argsort(-counts, kind="stable")][:SYMBOLS]
-    alphabet = np.zeros(CODE_POINTS, np.uint8)  # 0: rare or never seen
-    alphabet[common] = np.arange(1, len(common) + 1)
-    tables = [parse_table(alphabet[_code_points(joined[lang])].tolist(), SYMBOLS + 1) for lang in languages]
-    for table in tables:
-        table[:, 0] = 1  # what isn't in the alphabet matches nothing
-    return LanguageModel(languages, alphabet, tables)
+    known = np.unique(np.concatenate([_code_points(t) for t in joined.values()] or [np.empty(0, "<u4")]))
+    alphabet = np.zeros(CODE_POINTS, np.uint16 if len(known) < 65_535 else np.int32)  # 0: never seen
+    alphabet[known] = np.arange(1, len(known) + 1)
+    return LanguageModel(languages, alphabet, [transitions(alphabet[_code_points(joined[lang])].tolist(), len(known)) for lang in languages])
 
 
 def fit(docs: DataFrame) -> LanguageModel:
@@ -127,7 +163,7 @@ def fit(docs: DataFrame) -> LanguageModel:
 def phrases(texts: list[str], model: LanguageModel) -> np.ndarray:
     """Phrases needed for each text (rows) by each language (columns)."""
     points = [_code_points(t) for t in texts]
-    codes = model.alphabet[np.concatenate(points)] if points else np.empty(0, np.uint8)
+    codes = model.alphabet[np.concatenate(points)] if points else np.empty(0, np.uint16)
     ends = np.cumsum([len(p) for p in points])
     starts, owner, lengths = [], [], []
     for k, end in enumerate(ends):
@@ -140,15 +176,14 @@ def phrases(texts: list[str], model: LanguageModel) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     start, length, owner = start[order], length[order], owner[order]
     active = np.searchsorted(-length, -np.arange(WINDOW), "left")  # windows longer than each place
-    counts = np.empty((len(model.tables), len(start)), np.int64)
-    for at, table in enumerate(model.tables):
-        flat, width = table.ravel(), table.shape[1]
+    counts = np.empty((len(model.automata), len(start)), np.int64)
+    for at, automaton in enumerate(model.automata):
         state, made = np.zeros(len(start), np.int32), np.ones(len(start), np.int32)
         for place in range(int(length.max(initial=0))):
             n = active[place]
-            value = flat[state[:n] * width + codes[start[:n] + place]]
-            made[:n] += value & 1
-            np.right_shift(value, 1, out=state[:n])
+            value = automaton.step(state[:n], codes[start[:n] + place])
+            made[:n] += value & 3
+            np.right_shift(value, 2, out=state[:n])
         counts[at] = made
     return np.stack([np.bincount(owner, row, minlength=len(texts)) for row in counts], axis=1)
 
@@ -183,7 +218,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     is ``und`` with score 0, and so is every text if nothing was learned.
     ``held_out`` is true for rows that can't have been learned from (a null id
     too).  Repeated rows stay; an empty table gives no rows; other columns are
-    ignored.
+    ignored.  A very long text is parsed whole, in windows like any other.
     """
     shared = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _predict(model), "doc_id long, lang_pred string, score double"
