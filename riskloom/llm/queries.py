@@ -12,7 +12,7 @@ from riskloom.session import checkpoint_root
 from .ann import nearest
 from .best_fit import best_fit
 from .common import table
-from .decontam import MASKS, SHARE, SPAN, WINDOW, passages
+from .decontam import SHARE, WHOLE, WINDOW, passages
 from .line_dedup import dedup_lines
 from .packing import pack
 from .pii import pseudonyms
@@ -142,40 +142,30 @@ from marked group by doc_id
 """
 
 
-
-def _masked(words: str, at: str) -> str:
-    """The masked tokens of each mask, as rows."""
-    picks = [
-        "[" + ", ".join([f"'{k}'"] + [f"{words}[{at} + {o + 1}]" for o, bit in enumerate(mask) if bit == "1"]) + "]"
-        for k, mask in enumerate(MASKS)
-    ]
-    return f"unnest([{', '.join(picks)}])"
-
-
+# Where 11 of 13 tokens agree, or 10 of 12, four in a row do; where 9 of 11 do, three.
 DECONTAMINATION_SQL = f"""
 with words as (
     select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w
     from documents
 ), items as (
-    select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as v
-    from benchmark
-), at_doc as (
-    select doc_id, w, unnest(range(len(w) - {SPAN} + 1)) as p from words
+    select item_id, v, len(v) as n, least({WINDOW}, len(v)) as width, case when len(v) >= 12 then 4 when len(v) = 11 then 3 else len(v) end as run
+    from (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as v from benchmark)
+    where len(v) > 0
 ), at_item as (
-    select item_id, v, unnest(range(len(v) - {SPAN} + 1)) as q from items
-), seeds as (
-    select doc_id, p, {_masked('w', 'p')} as seed from at_doc
-), tests as (
-    select item_id, q, {_masked('v', 'q')} as seed from at_item
+    select item_id, run, q, array_to_string(v[q + 1 : q + run], ' ') as gram from (select *, unnest(range(n - run + 1)) as q from items)
+), at_doc as (
+    select doc_id, run, p, array_to_string(w[p + 1 : p + run], ' ') as gram
+    from (select *, unnest(range(len(w) - run + 1)) as p from words, (select distinct run from items))
 ), diagonals as (
-    select distinct doc_id, item_id, p - q as d from seeds join tests using (seed)
+    select distinct doc_id, item_id, p - q as d from at_doc join at_item using (run, gram)
 ), aligned as (
-    select doc_id, item_id, d, len(v) as n, least({WINDOW}, len(v)) as width,
-        list_transform(range(len(v)), lambda i: case when d + i >= 0 and w[d + i + 1] = v[i + 1] then 1 else 0 end) as same
+    select doc_id, item_id, d, n, width,
+        list_transform(range(n), lambda i: case when d + i >= 0 and w[d + i + 1] = v[i + 1] then 1 else 0 end) as same
     from diagonals join words using (doc_id) join items using (item_id)
 ), checked as (
     select *, list_sum(same) as m from aligned
-    where list_max(list_transform(range(n - width + 1), lambda s: list_sum(same[s + 1 : s + width]))) >= ceil(width * {SHARE})
+    where list_max(list_transform(range(n - width + 1), lambda s: list_sum(same[s + 1 : s + width])))
+        >= case when n < {WHOLE} then n else ceil(width * {SHARE}) end
 ), ranked as (
     select *, row_number() over (partition by doc_id, item_id order by m desc, d) as r from checked
 )
