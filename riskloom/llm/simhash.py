@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import materialize
+from riskloom.session import materialize, shuffle_width
 
 from .common import fresh
 from .components import roots
@@ -53,17 +53,19 @@ def _fingerprints(size: int):
     def run(batches):
         for batch in batches:
             # Bytes split and lower-case by ASCII rules alone, as the words are defined.
-            found = [fingerprint_of((t or b"").lower().split(), size) for t in batch.column(1).to_pylist()]
+            found = [fingerprint_of((t or b"").lower().split(), size) for t in batch.column("text").to_pylist()]
             prints = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), prints], ["doc_id", "print"])
+            yield batch.drop_columns(["text"]).append_column("print", prints)
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, print``: the fingerprint of every whole text as a signed 64-bit integer."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        _fingerprints(size), "doc_id long, print long"
+def fingerprints(docs: DataFrame, size: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id`` (and the long columns ``keep``) and ``print``: the fingerprint of every whole text as a signed 64-bit integer."""
+    keep = keep or []
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *keep, "print"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text")).mapInArrow(
+        _fingerprints(size), schema
     )
 
 
@@ -143,7 +145,9 @@ def link_pairs(distinct: DataFrame, threshold: int = THRESHOLD, full: int = FULL
     """
     if not 0 <= threshold <= 2:
         raise ValueError("the covering is laid out for thresholds of at most 2 bits")
-    placed = materialize(distinct.select("print").mapInArrow(_anchors(threshold), "anchor long, print long, home boolean"))
+    # Each row grows some sixty-fold, so few and small input partitions are dealt out first.
+    dealt = distinct.select("print").repartition(shuffle_width(distinct.sparkSession), "print")
+    placed = materialize(dealt.mapInArrow(_anchors(threshold), "anchor long, print long, home boolean"))
     homes = placed.where("home").select("anchor", F.col("print").alias("a"))
     copies = placed.where("!home").select("anchor", F.col("print").alias("b"))
     crowded = homes.groupBy("anchor").count().where(F.col("count") > full).select("anchor")
@@ -160,6 +164,13 @@ def link_pairs(distinct: DataFrame, threshold: int = THRESHOLD, full: int = FULL
     return near.union(star).distinct()
 
 
+def _rooted(prints: DataFrame, threshold: int, *least) -> DataFrame:
+    """Every distinct fingerprint with the least one of its component (``root``) and aggregates of its rows."""
+    nodes = prints.groupBy("print").agg(*least)
+    star = roots(link_pairs(nodes, threshold)).withColumnRenamed("node", "print")
+    return materialize(nodes.join(star, "print", "left").withColumn("root", F.coalesce("root", "print")))
+
+
 def near_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """Every document's fingerprint and component: ``doc_id, fingerprint, component_id``.
 
@@ -168,11 +179,10 @@ def near_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
     reachable (null ids don't count; null if there is no other).  Repeated
     rows stay, an empty table gives no rows, other columns are ignored.
     Links are sought among distinct fingerprints: copies cost nothing more.
+    A very long text is hashed in parts.
     """
     prints = materialize(fingerprints(docs, size))
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    star = roots(link_pairs(nodes, threshold)).withColumnRenamed("node", "print")
-    rooted = materialize(nodes.join(star, "print", "left").withColumn("root", F.coalesce("root", "print")))
+    rooted = _rooted(prints, threshold, F.min("doc_id").alias("least"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(component, "root").select("print", "component_id")
     return prints.join(known, "print").select(
@@ -180,200 +190,20 @@ def near_components(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
     )
 
 
-# Near-duplicate removal: shingles of five words, Jaccard similarity of 0.8 or more.
-#
-# At that similarity fingerprints differ in about 10 of 64 bits, beyond any covering that can be
-# replicated.  The covering therefore finds the closest pairs, and others become candidates where a
-# min-hash of their shingle sets is equal.  A small bucket of equal min-hashes is compared whole.  The
-# members of crowded buckets are split by their rarest shingles: similar sets share one of the first
-# fifth of each, in any common order.  Every candidate is verified on the sets themselves.
-
-VIEWS = 8
-SIMILARITY = 0.8
-#: A bucket or shingle with more texts than this is crowded.
-FULL_BUCKET = 16
-#: Bits of a set's parity sketch: sets differ in at least as many shingles as their sketches do in bits.
-SKETCH = 1024
-FEATURES = "doc_id long, body long, node long, print long, size int, sketch array<long>, mins array<long>"
-
-
-def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else iter([b" ".join(words)])
-    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - size + 1))
-
-
-def _features(size: int):
-    odd = np.array([xxhash.xxh64_intdigest(b"view", k) | 1 for k in range(2 * VIEWS)], np.uint64)
-
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc_id, body, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = (text or b"").lower().split()
-                if not words:
-                    continue
-                sets = np.unique(_shingle_hashes(words, size))
-                ones = np.zeros(64, np.int64)
-                for k in range(0, len(sets), CHUNK):
-                    part = sets[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
-                    ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                bits = np.packbits(2 * ones > len(sets), bitorder="little")
-                odds = np.bincount((sets >> np.uint64(54)).astype(np.int64), minlength=SKETCH) & 1
-                sketch = np.packbits(odds.astype(bool)).view(np.int64)
-                mixed = sets[None, :] * odd[:VIEWS, None]
-                mixed ^= mixed >> np.uint64(31)
-                mins = (mixed * odd[VIEWS:, None]).min(axis=1)
-                node = xxhash.xxh64_intdigest(sets.tobytes(), 1)
-                signed = lambda x: int(np.uint64(x).astype(np.int64))
-                mark = int.from_bytes(bits.tobytes(), "little", signed=True)
-                values = (doc_id, body, signed(node), mark, len(sets), sketch, mins.view(np.int64))
-                for column, value in zip(out, values):
-                    column.append(value)
-                if len(out[0]) >= 500:
-                    yield _feature_batch(out)
-                    out = [[] for _ in range(7)]
-            if out[0]:
-                yield _feature_batch(out)
-
-    return run
-
-
-def _feature_batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.list_(pa.int64())] * 2
-    names = [c.split()[0] for c in FEATURES.split(", ")]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _sets(size: int):
-    """The set of shingle hashes of each text."""
+def drop_near_duplicates(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each component of near copies stays; all columns kept.
 
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                sets = [np.unique(_shingle_hashes((t or b"").lower().split(), size)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return run
-
-
-def _prefixes(similarity: float):
-    """Rare shingles at the head of each set, in the order of rare before common ones.
-
-    Two similar sets share a shingle of the first ``head`` of the larger and
-    the first ``start`` of the smaller set.  ``common`` tells that the head
-    (``head_common``) or start (``start_common``) reaches common shingles.
-    """
-
-    def run(batches):
-        for batch in batches:
-            nodes, sizes, heads, starts, keys = [], [], [], [], []
-            for node, own, common in zip(*(batch.column(k) for k in range(3)), strict=True):
-                own = np.asarray(own.values)
-                common = np.asarray(common.values) if common.is_valid else own[:0]
-                rare = np.setdiff1d(own, common, assume_unique=True)
-                # Rounding may only make a head longer.
-                head = len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1
-                start = len(own) - int(np.ceil(2 * similarity / (1 + similarity) * len(own) - 1e-6)) + 1
-                nodes.append(node.as_py())
-                sizes.append(len(own))
-                heads.append(len(rare) < head)
-                starts.append(len(rare) < start)
-                keys.append([{"key": int(x), "start": k < start} for k, x in enumerate(np.sort(rare)[:head])])
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.struct([("key", pa.int64()), ("start", pa.bool_())])))
-            names = ["node", "size", "head_common", "start_common", "keys"]
-            yield pa.record_batch([pa.array(v, k) for v, k in zip((nodes, sizes, heads, starts, keys), kinds, strict=True)], names)
-
-    return run
-
-
-PREFIXES = "node long, size int, head_common boolean, start_common boolean, keys array<struct<key:long,start:boolean>>"
-
-
-def similar_pairs(features: DataFrame, texts: DataFrame, size: int, similarity: float, full: int = FULL_BUCKET) -> DataFrame:
-    """Verified pairs ``a, b`` of shingle sets (``node``); ``texts`` has the texts by ``doc_id, body``.
-
-    The pairs connect all sets that are similar and have an equal min-hash.
-    """
-    rep = F.min(F.struct("doc_id", "body")).alias("rep")
-    sets = materialize(features.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "size", "sketch", "mins")], rep))
-    own = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("body") == F.col("rep_body"))
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sided = lambda frame, name, *keys: frame.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in frame.columns if c not in keys])
-    #: a is the smaller set (by node where equal), and not too small.
-    sizes = F.col("a_size") >= F.lit(similarity) * F.col("b_size")
-    smaller = F.struct("a_size", "a_node") < F.struct("b_size", "b_node")
-
-    def shingles_of(nodes: DataFrame) -> DataFrame:
-        named = nodes.join(sets.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.body").alias("rep_body")), "node")
-        return materialize(texts.join(named, own).select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda name: sets.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
-        apart = sum((F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("b_sketch", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
-        # At the least similarity the sets differ in so many shingles, and their sketches in no more bits.
-        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + 1e-6
-        pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"))
-        # Only texts that take part in a pair are hashed once more for their sets.
-        shingles = shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        words = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        enough = common >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - common)
-        return materialize(pairs.join(words("a"), "a").join(words("b"), "b").where(enough).select("a", "b"))
-
-    keyed = sets.select("node", "size", F.posexplode("mins").alias("view", "key"))
-    shared = keyed.groupBy("view", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    bucket = materialize(keyed.join(shared, ["view", "key"]))
-    small = bucket.where(F.col("n") <= full).select("view", "key", "node", "size")
-    inside = sided(small, "a", "view", "key").join(sided(small, "b", "view", "key"), ["view", "key"]).where(smaller & sizes)
-    crowded = bucket.where(F.col("n") > full)
-    star = crowded.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-
-    many = shingles_of(crowded.select("node").distinct())
-    places = many.select("node", F.explode("shingles").alias("key"))
-    common = places.groupBy("key").count().where(F.col("count") > full).select("key")
-    held = places.join(common, "key").groupBy("node").agg(F.collect_set("key").alias("common"))
-    heads = materialize(many.join(held, "node", "left").select("node", "shingles", "common").mapInArrow(_prefixes(similarity), PREFIXES))
-    rare = heads.select("node", "size", F.explode("keys").alias("at")).select("at.key", "at.start", "node", "size")
-    split = sided(rare.where("start").drop("start"), "a", "key").join(sided(rare.drop("start"), "b", "key"), "key").where(smaller & sizes)
-
-    prints = sets.groupBy("print").agg(F.min("node").alias("node"))
-    equal = sets.select("print", F.col("node").alias("b")).join(prints, "print").where("node != b").select(F.col("node").alias("a"), "b")
-    close = link_pairs(prints)
-    side = lambda name: prints.select(F.col("print").alias(name), F.col("node").alias(f"{name}_node"))
-    covered = close.join(side("a"), "a").join(side("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    named = [frame.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")) for frame in (inside, split)]
-    pairs = verified(ordered(star.union(named[0]).union(named[1]).union(equal).union(covered)))
-
-    # Sets alike but for common shingles: in crowded buckets those not connected so far are compared.
-    alike = heads.where("head_common").select("node", "start_common").distinct().join(roots(pairs), "node", "left")
-    alike = alike.select("node", "start_common", F.coalesce("root", "node").alias("root"))
-    rest = materialize(crowded.select("view", "key", "node", "size").join(alike, "node"))
-    apart = F.col("a_root") != F.col("b_root")
-    late = sided(rest.where("start_common"), "a", "view", "key").join(sided(rest, "b", "view", "key"), ["view", "key"]).where(smaller & sizes & apart)
-    return pairs.union(verified(ordered(late.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))))
-
-
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies stays (the smallest id, null last); all columns kept.
-
-    Groups are the components of texts whose sets of ``size``-word shingles
-    have a Jaccard similarity of at least ``similarity``.  Candidates are
-    found by the fingerprints' covering and by equal min-hashes, in crowded
-    buckets by their rarest shingles, and verified.
-    Null, empty and blank texts have no shingle and all stay.  Of equal rows
-    one stays.  An empty table gives no rows.
+    That is the row of the smallest ``doc_id`` (null last; of rows with one id
+    the one whose text has the smallest hash); of equal rows one stays.  Null,
+    empty and blank texts share fingerprint zero and are copies of each other.
+    An empty table gives no rows.
     """
-    body = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), F.col("text").cast("binary").alias("text"))
-    features = materialize(keyed.mapInArrow(_features(size), FEATURES))
-    star = roots(similar_pairs(features, keyed, size, similarity))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "body")).alias("least")
-    nodes = features.groupBy("node").agg(least).join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = nodes.groupBy("root").agg(F.min("least").alias("least"))
-    doc, text = fresh(docs, "_doc", "_kept")
-    kept = kept.select(F.col("least.doc_id").alias(doc), F.col("least.body").alias(text))
-    blank = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (body == F.col(text))
-    chosen = docs.where(~blank).join(kept, same).dropDuplicates([doc, text]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return chosen.unionByName(docs.where(blank))
+    doc, body, other_doc, other_body = fresh(docs, "_doc", "_body", "_doc2", "_body2")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = materialize(fingerprints(docs.select(F.col("doc_id"), "text", text_hash.alias("body")), size, ["body"]))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "body")).alias("least")
+    kept = _rooted(prints, threshold, order).groupBy("root").agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias(other_doc), F.col("least.body").alias(other_body))
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), body: text_hash})
+    same = F.col(doc).eqNullSafe(F.col(other_doc)) & (F.col(body) == F.col(other_body))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc, body]).select(*[F.col(f"`{c}`") for c in docs.columns])
