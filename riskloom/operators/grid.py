@@ -15,13 +15,17 @@ STEP_UNIT = {"dt": "hour", "t0": "day"}
 STEP_TEXT = {"dt": "INTERVAL 1 HOUR", "t0": "INTERVAL 1 DAY"}
 
 
-def time_span(df: DataFrame, time_col: str) -> tuple:
+def time_span(df: DataFrame, time_col: str, required: bool = False) -> tuple:
     """First and last time as scalar subqueries: evaluated once, inside the same job.
 
     Pass the least processed frame that has the column; min and max need no
-    shuffle and read only what ``time_col`` is made of.
+    shuffle and read only what ``time_col`` is made of.  If ``required``, the
+    job fails where no row has a time.
     """
-    return df.agg(F.min(time_col)).scalar(), df.agg(F.max(time_col)).scalar()
+    first = F.min(time_col)
+    if required:
+        first = F.coalesce(first, F.raise_error(F.lit(f"column {time_col}: no time could be parsed")).cast(df.schema[time_col].dataType))
+    return df.agg(first).scalar(), df.agg(F.max(time_col)).scalar()
 
 
 def dense_grid(

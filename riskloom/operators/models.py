@@ -199,7 +199,7 @@ def fit_stacked(
     checkpoint_root(train.sparkSession)
     prepared_by = Pipeline(stages=preparation(features, train, scale=True)).fit(train)
     fold = F.pmod(F.xxhash64(*[F.col(c) for c in key]), F.lit(folds)).alias("__fold")
-    prepared = prepared_by.transform(train).select("features", F.col(y).cast("double").alias(y), fold).persist()
+    prepared = materialize(prepared_by.transform(train).select("features", F.col(y).cast("double").alias(y), fold))
     try:
         n = prepared.count()
         bases = stack_bases(n, y, sizes)
@@ -216,5 +216,5 @@ def fit_stacked(
         meta = Pipeline(stages=[join, _ridge(n, y, "__stacked", **_stack_sizes(sizes)["meta"])]).fit(held_out)
         release(held_out)
     finally:
-        prepared.unpersist()
+        release(prepared)
     return RiskModel(features.all, PipelineModel(stages=[prepared_by, meta]), full)

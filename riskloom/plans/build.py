@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.timing import add_calendar, anchored_bucket, month_start, week_start
@@ -25,7 +25,8 @@ from riskloom.schema import (
     COUNT, FREQUENCIES, HOURLY_PROTECTED, KEY, LABEL, SIDE_FEATURES, label, normalize_key, require,
 )
 from riskloom.session import materialize, release
-from riskloom.sources.readers import ensure_some_time, parsed_time, resolve_event_time
+from riskloom.sources.contracts import Contract
+from riskloom.sources.readers import parsed_time, resolve_event_time
 from riskloom.sources.writers import write_metrics, write_pr_curve, write_report
 
 
@@ -43,12 +44,16 @@ def labelled_panel(
 
     Counts and side features come from one aggregate over the incidents.  Only
     observed cells are shuffled (once by cell, once by area); gap filling,
-    calendar and priors then run in place.
+    calendar and priors then run in place.  With ``check`` the job itself fails
+    if no time can be parsed, where it looks for the span.
     """
     time_col = TIME_COLUMN[granularity]
-    raw = resolve_event_time(normalize_key(incidents), check=check)
+    raw = resolve_event_time(normalize_key(incidents))
     if span is None:
-        span = time_span(raw.select(cell_time(granularity).alias(time_col)), time_col)
+        span = time_span(raw.select(cell_time(granularity).alias(time_col)), time_col, required=check)
+        if check:
+            # Evaluated before the incidents are read, even if no cell comes of them.
+            raw = raw.filter(span[0].isNotNull())
     cells = aggregate_cells(raw, granularity, side_cols)
     grid = dense_grid(cells, time_col, span, (COUNT,), partitions).withColumn(LABEL, label(F.col(COUNT)))
     hourly = granularity == "hourly"
@@ -85,6 +90,9 @@ def frequency_grids(
     if unknown:
         raise ValueError(f"unknown frequency {unknown}; allowed: {FREQUENCIES}")
     standard = normalize_daily(daily, unique_cells=unique_cells)
+    if len(set(wanted)) > 1:
+        # The dense daily grid is what costs most: made once, read for each frequency.
+        standard = materialize(standard)
     return {f: standard if f == "1D" else coarse_grid(standard, f) for f in wanted}
 
 
@@ -95,16 +103,18 @@ def window_grid(
     tz: str | None = None,
     prior_mode: str = "closed_left",
     utc_calendar: bool = False,
-    check: bool = True,
+    contract: Contract | None = None,
 ) -> DataFrame:
     """An hourly grid to local days, or to 7/30-day blocks counted from the run day.
 
-    The calendar follows the local bucket start unless ``utc_calendar``.
+    The calendar follows the local bucket start unless ``utc_calendar``.  A
+    ``contract`` counts bad times and keys as the grid is read: enforce it
+    when the result has been written.
     """
+    if contract is not None:
+        hourly = contract.watch(hourly)
     df = require(normalize_key(hourly), [KEY, "dt", COUNT], "hourly grid").drop("dt_local")
     df = parsed_time(df, "dt")
-    if check:
-        df = ensure_some_time(df, "dt")
     start = anchored_bucket(F.col("dt"), freq, as_of, tz)
     grid = rollup(df, start, HOURLY_PROTECTED, group_extra=("block_id",))
     grid = add_calendar(grid, "t0", None if utc_calendar else tz, hour_start="clock", keep_local=False)
@@ -164,7 +174,7 @@ def train(
         raise ValueError(f"kind must be single or stacked, not {kind!r}")
     train_part, test_part, features = training_parts(grid, share, on_leak)
     columns = [KEY, "t0", LABEL, *features.all]
-    train_part = train_part.select(*[F.col(f"`{c}`") for c in columns]).persist()
+    train_part = materialize(train_part.select(*[F.col(f"`{c}`") for c in columns]))
     try:
         balance = class_balance(train_part).first()
         sampled = undersample(train_part, undersample_ratio, at_least_one=not weight_after_sampling)
@@ -176,7 +186,7 @@ def train(
             model = fit_single(sampled, features, balance["scale_pos_weight"], **(sizes or {}))
         n_train = sampled.count()
     finally:
-        train_part.unpersist()
+        release(train_part)
     scored = materialize(
         model.score(test_part.select(*[F.col(f"`{c}`") for c in columns])).select(KEY, "t0", LABEL, "prob")
     )
@@ -215,6 +225,39 @@ def train_frequencies(
     return models, failed
 
 
+def train_outcomes(
+    grids: dict[str, DataFrame | None], on_done: Callable[[str, RiskModel, DataFrame, DataFrame], None] | None = None, **options
+) -> tuple[dict[str, RiskModel], DataFrame]:
+    """Train every frequency; models, and a row for each: ``freq, outcome, reason, n_train, n_test``.
+
+    ``outcome`` is trained, skipped (no grid) or failed; a failure, of
+    ``on_done`` too, stops no other frequency and ``reason`` tells its kind and
+    first line.
+    """
+    models: dict[str, RiskModel] = {}
+    rows: list[tuple] = []
+    for freq, grid in grids.items():
+        if grid is None:
+            rows.append((freq, "skipped", "no grid", None, None))
+            continue
+        sizes: dict[str, int] = {}
+
+        def told(freq, model, metrics, scored):
+            sizes.update(metrics.select("n_train", "n_test").first().asDict())
+            if on_done:
+                on_done(freq, model, metrics, scored)
+
+        done, failed = train_frequencies({freq: grid}, keep_going=True, on_done=told, **options)
+        if freq in failed:
+            error = failed[freq]
+            rows.append((freq, "failed", f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}", None, None))
+        else:
+            models |= done
+            rows.append((freq, "trained", None, sizes["n_train"], sizes["n_test"]))
+    spark = SparkSession.getActiveSession()
+    return models, spark.createDataFrame(rows, "freq string, outcome string, reason string, n_train long, n_test long")
+
+
 def save_run(root: str, freq: str, model: RiskModel, metrics: DataFrame, scored: DataFrame) -> None:
     """Model, metrics row, precision-recall curve and class report of one training run."""
     kind = "stacked" if model.bases else "single"

@@ -6,9 +6,12 @@ plain SQL engine shares: times without zone, 32-bit calendar integers, doubles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +19,9 @@ from pyspark.sql import types as T
 from riskloom.functions.timing import (
     add_calendar, anchored_bucket, auto_freq, horizon_hours, local_day, local_time, month_start, season, week_start,
 )
-from riskloom.operators import counts, evaluation, features, forecast, priors
+from riskloom.operators import counts, evaluation, features, forecast, linear, priors, report
 from riskloom.operators.grid import dense_grid
-from riskloom.operators.models import fit_single
+from riskloom.operators.models import fit_single, fit_stacked, load_best, preparation
 from riskloom.operators.rollup import rollup
 from riskloom.plans import build
 from riskloom.plans.fixtures import (
@@ -27,9 +30,10 @@ from riskloom.plans.fixtures import (
 )
 from riskloom.plans.sql import SQL
 from riskloom.schema import COUNT, KEY, LABEL, label, quoted
-from riskloom.session import materialize, use_utc
+from riskloom.session import TABLE_PREFIX, checkpoint_root, materialize, use_utc
+from riskloom.sources.contracts import Contract, line_kind, read_lines, watching_session
 from riskloom.sources.readers import read_columns, resolve_event_time, schema_report
-from riskloom.sources.writers import export_rows
+from riskloom.sources.writers import append_metrics, export_rows, last_runs, layout_report, metrics_history, write_forecast, write_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -583,5 +587,174 @@ def q_model_stacked(spark, folder):
     return build.train(grid, "1D", kind="stacked", sizes=sizes)[1]
 
 
+# ---- reports, contracts and stored outputs
+
+def _place(spark, name: str) -> str:
+    """A folder of its own beside the checkpoints, for outputs that a query writes and reads back."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{TABLE_PREFIX}{name}-{uuid.uuid4().hex}"
+
+
+def _report(spark, folder):
+    ranked = forecast.top_k(forecast.add_tier(future_scores(spark, folder)), 10)
+    return report.forecast_report(ranked.select(KEY, "t0", "prob", "tier"))
+
+
+@query("ordered_report")
+def q_ordered_report(spark, folder):
+    return _report(spark, folder)
+
+
+@query("report_page")
+def q_report_page(spark, folder):
+    return report.page(_report(spark, folder), 11, 25)
+
+
+@query("contract_report")
+def q_contract_report(spark, folder):
+    """What the orders break as incidents, counted while their cells are."""
+    order = F.col("o_orderkey")
+    time = F.when(order % 97 == 0, "not a date").when(order % 89 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    key = F.when(order % 83 != 0, F.col("o_custkey").cast("string"))
+    raw = table(watching_session(spark), folder, "orders").select(key.alias(KEY), time.alias("datetime"))
+    contract = Contract(KEY, "datetime")
+    cells = materialize(counts.count_incidents(keyed(contract.watch(raw)), "daily"))
+    contract.enforce()
+    return contract.report(spark).withColumn("cells", F.lit(cells.count()).cast("long"))
+
+
+@query("text_round_trip")
+def q_text_round_trip(spark, folder):
+    """Lines written as text and read by a schema: good, damaged and short ones apart; forecasts as CSV and JSON."""
+    key = F.col("c_custkey")
+    balance = F.when(key % 50 == 0, "n/a").otherwise(F.format_string("%.2f", "c_acctbal"))
+    line = F.when(key % 70 == 35, F.concat_ws(",", "c_custkey", "c_nationkey")).otherwise(F.concat_ws(",", "c_custkey", "c_nationkey", balance))
+    lines = _place(spark, "lines")
+    table(spark, folder, "customer").select(line.alias("value")).write.text(lines)
+    read = materialize(read_lines(spark, lines, "id long, nation int, balance double", header=False))
+    facts = read.groupBy(line_kind(3).alias("kind")).agg(F.count("*").alias("row_count"), F.round(F.sum("id").cast("double"), 4).alias("total"))
+    out = facts.select(F.lit("lines").alias("source"), "kind", "row_count", "total")
+    ranked = materialize(forecast.top_k(forecast.add_tier(future_scores(spark, folder)), 3))
+    for fmt in ("csv", "json"):
+        path = _place(spark, fmt)
+        write_forecast(ranked.select(KEY, "t0", "prob", "tier_rank", "tier"), path, fmt)
+        back = materialize(read_lines(spark, path, f"{KEY} string, t0 timestamp, prob double, tier_rank int, tier string", fmt))
+        facts = back.groupBy(line_kind(5).alias("kind")).agg(F.count("t0").alias("row_count"), F.round(F.sum("prob") + NUDGE, 4).alias("total"))
+        out = out.unionByName(facts.select(F.lit(fmt).alias("source"), "kind", "row_count", "total"))
+    return out
+
+
+@query("grid_layout")
+def q_grid_layout(spark, folder):
+    path = _place(spark, "grid")
+    write_grid(standard_daily(spark, folder), path)
+    return layout_report(spark.read.parquet(path))
+
+
+@query("metrics_history")
+def q_metrics_history(spark, folder):
+    """Three runs appended one by one, the last with a column more; the latest of each frequency."""
+    scored = materialize(scored_documents(spark, folder))
+    path = _place(spark, "metrics")
+    runs = [
+        ("1D", datetime(2024, 1, 1), scored, False), ("1W", datetime(2024, 1, 2), scored.filter("doc_id % 3 = 0"), False),
+        ("1D", datetime(2024, 1, 3), scored.filter("doc_id % 2 = 0"), True),
+    ]
+    for freq, time, rows, rated in runs:
+        balance = counts.class_balance(rows, "y").withColumns({"freq": F.lit(freq), "run_time": F.lit(time)})
+        append_metrics(balance if rated else balance.drop("y1_rate", "scale_pos_weight"), path)
+    last = last_runs(metrics_history(spark, path))
+    return last.select("freq", "run_time", "pos", "neg", rounded("y1_rate", 6))
+
+
+# ---- encoded features and linear learners
+
+CATEGORIES = ["month", "day_of_week"]
+
+
+def _parts(spark, folder):
+    """Training part without Decembers (so that they are unseen), and test part."""
+    grid = materialize(add_calendar(daily_grid(spark, folder, ("o_totalprice",)), "t0", hour_start="zero"))
+    grid = grid.withColumn("day", F.dayofmonth("t0") / F.lit(31.0))
+    train, test = features.time_split(grid)
+    return train.filter(F.col("month") != 12), test
+
+
+def _encoder(train, numeric, scale=False):
+    return Pipeline(stages=preparation(features.Features(numeric, CATEGORIES), train, scale=scale)).fit(train)
+
+
+@query("encoded_features")
+def q_encoded_features(spark, folder):
+    train, test = _parts(spark, folder)
+    return with_rounded(linear.feature_rows(_encoder(train, ["day"]), test), "value")
+
+
+@query("scaled_features")
+def q_scaled_features(spark, folder):
+    """Numbers of the test part, imputed and scaled by moments of the training part."""
+    train, test = _parts(spark, folder)
+    prepared = _encoder(train, ["day", "o_totalprice"], scale=True).transform(test)
+    values = prepared.withColumn("v", vector_to_array("__scaled"))
+    return values.select(KEY, "t0", *[F.round(F.col("v")[k] + NUDGE, 6).alias(c) for k, c in enumerate(("day", "o_totalprice"))])
+
+
+@query("score_linear")
+def q_score_linear(spark, folder):
+    """Weights are the difference of the classes' means, slot by slot."""
+    train, test = _parts(spark, folder)
+    encoder = _encoder(train, ["day"])
+    n = counts.class_balance(train).first()
+    rows = linear.feature_rows(encoder, train, (KEY, "t0", LABEL))
+    mean = lambda y, total: F.coalesce(F.sum(F.when(F.col(LABEL) == y, F.col("value"))), F.lit(0.0)) / F.lit(total)
+    weights = materialize(rows.groupBy("slot").agg((mean(1, n["pos"]) - mean(0, n["neg"])).alias("weight")))
+    scored = linear.linear_scores(linear.feature_rows(encoder, test), weights, 0.25, all_keys=test)
+    return scored.select(KEY, "t0", F.round(F.col("prob").cast("double") + NUDGE, 5).alias("prob"))
+
+
+@query("stack_out_of_fold")
+def q_stack_out_of_fold(spark, folder):
+    train, _ = _parts(spark, folder)
+    digest = F.md5(F.concat_ws("|", KEY, F.date_format("t0", "yyyy-MM-dd")))
+    fold = F.pmod(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"), F.lit(5)).cast("int")
+    inputs = ["day", "month", "o_totalprice"]
+    scored = linear.out_of_fold(train, inputs, fold, 5)
+    return scored.select(KEY, "t0", F.col("__fold").alias("fold"), *[rounded(f"line_{c}", 6) for c in inputs])
+
+
+SMALL_STACK = {
+    "boosted": {"maxIter": 2, "maxDepth": 2}, "boosted_long": None, "forest": None, "linear": {"maxIter": 3}, "meta": {"maxIter": 5},
+}
+
+
+@query("saved_model_scores")
+def q_saved_model_scores(spark, folder):
+    """Models saved and loaded again score the same: rows compared and rows that differ."""
+    grid = materialize(standard_daily(spark, folder))
+    train, test, chosen = build.training_parts(grid)
+    weight = counts.class_balance(train).first()["scale_pos_weight"]
+    models = {
+        "single": fit_single(train, chosen, weight, maxIter=2, maxDepth=2, stepSize=0.3),
+        "stacked": fit_stacked(train, chosen, folds=2, sizes=SMALL_STACK),
+    }
+    root, out = _place(spark, "models"), None
+    for kind, model in models.items():
+        model.save(f"{root}/{kind}_1d")
+        loaded = load_best(spark, root, "1D")  # the stacked one as soon as there is one
+        both = loaded.score(model.score(test, "prob"), "again").agg(
+            F.count("*").alias("rows_compared"), F.count_if(~F.col("prob").eqNullSafe(F.col("again"))).alias("rows_different")
+        ).select(F.lit(kind).alias("kind"), "rows_compared", "rows_different")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("train_outcomes")
+def q_train_outcomes(spark, folder):
+    """One frequency trained, one without a grid, one whose grid lacks the label."""
+    grid = materialize(standard_daily(spark, folder))
+    sizes = {"maxIter": 2, "maxDepth": 2, "stepSize": 0.3}
+    _, rows = build.train_outcomes({"1D": grid, "1W": None, "1M": grid.drop(LABEL)}, sizes=sizes)
+    return rows.withColumn("reason", F.substring_index("reason", ";", 1))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: text for name, text in SQL.items() if name in QUERIES}

@@ -224,6 +224,23 @@ VALID_LINES = " UNION ALL ".join(
 )
 
 
+REPORT = """report AS (
+  SELECT row_number() OVER (ORDER BY t0, prob DESC, "GEOID") AS position, * FROM (
+    SELECT "GEOID", t0, prob, tier FROM tiered QUALIFY row_number() OVER (PARTITION BY t0 ORDER BY prob DESC, "GEOID") <= 10))"""
+
+# Slot 0 is the number, then come the categories seen in training, as texts in order.
+ENCODED = f"""parts AS (
+  SELECT *, {_calendar("t0")}, day(t0) / 31.0::DOUBLE AS day, pos <= CAST(floor(total * 0.8) AS BIGINT) AS is_train FROM placed
+  WHERE pos > CAST(floor(total * 0.8) AS BIGINT) OR month(t0) <> 12),
+categories AS (
+  SELECT "GEOID", t0, is_train, "Y_label", unnest([{{'c': 0, 'v': month::DOUBLE::VARCHAR}}, {{'c': 1, 'v': day_of_week::DOUBLE::VARCHAR}}], recursive := true)
+  FROM parts),
+slots AS (SELECT c, v, CAST(row_number() OVER (ORDER BY c, v) AS INTEGER) AS slot FROM (SELECT DISTINCT c, v FROM categories WHERE is_train)),
+encoded AS (
+  SELECT "GEOID", t0, is_train, "Y_label", slot, 1.0::DOUBLE AS value FROM categories JOIN slots USING (c, v)
+  UNION ALL SELECT "GEOID", t0, is_train, "Y_label", 0, day FROM parts)"""
+
+
 def _median_filled(source: str) -> str:
     return f"round(coalesce(o_totalprice, (SELECT median(o_totalprice) FROM {source})) + 1e-7, 4) AS o_totalprice"
 
@@ -402,4 +419,51 @@ lines AS (
   UNION ALL SELECT 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM r)
 SELECT class, round(p + 1e-7, 4) AS precision, round(r + 1e-7, 4) AS recall, round(f + 1e-7, 4) AS f1_score,
   CAST(s AS BIGINT) AS support FROM lines""",
+    "ordered_report": f"WITH {DAY}, {SCORES}, {REPORT} SELECT * FROM report",
+    "report_page": f"WITH {DAY}, {SCORES}, {REPORT} SELECT * FROM report WHERE position BETWEEN 11 AND 35",
+    "contract_report": """WITH r AS (
+  SELECT CASE WHEN o_orderkey % 83 <> 0 THEN o_custkey END AS area, o_orderkey % 97 = 0 AS bad, o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 AS missing,
+         CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT count(*) AS row_count, count(*) FILTER (bad) AS unreadable_times, count(*) FILTER (missing) AS null_times,
+  count(*) FILTER (area IS NULL) AS null_keys, count(DISTINCT (area, day)) FILTER (area IS NOT NULL AND NOT bad AND NOT missing) AS cells FROM r""",
+    "text_round_trip": f"""WITH {DAY}, {SCORES}, best AS (
+  SELECT * FROM tiered QUALIFY row_number() OVER (PARTITION BY t0 ORDER BY prob DESC, "GEOID") <= 3)
+SELECT 'lines' AS source, CASE WHEN c_custkey % 70 = 35 THEN 'short' WHEN c_custkey % 50 = 0 THEN 'damaged' ELSE 'good' END AS kind,
+  count(*) AS row_count, CAST(sum(c_custkey) AS DOUBLE) AS total FROM customer GROUP BY 2
+UNION ALL SELECT unnest(['csv', 'json']), 'good', count(*), round(sum(prob) + 1e-7, 4) FROM best""",
+    "grid_layout": f"WITH {DAY}, {DAY_GRID} SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS overlapping_files FROM grid",
+    "metrics_history": f"""WITH {DOCS}, runs AS (
+  SELECT '1D' AS freq, TIMESTAMP '2024-01-03' AS run_time, y, TRUE AS rated FROM docs WHERE doc_id % 2 = 0
+  UNION ALL SELECT '1W', TIMESTAMP '2024-01-02', y, FALSE FROM docs WHERE doc_id % 3 = 0)
+SELECT freq, run_time, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg,
+  CASE WHEN bool_and(rated) THEN round(avg(y) + 1e-7, 6) END AS y1_rate FROM runs GROUP BY 1, 2""",
+    "encoded_features": f"""WITH {DAY}, {TRAIN}, {ENCODED}
+SELECT "GEOID", t0, slot, round(value + 1e-7, 4) AS value FROM encoded WHERE NOT is_train""",
+    "scaled_features": f"""WITH {DAY}, {TRAIN}, {ENCODED}, m AS (
+  SELECT median(o_totalprice) AS mid FROM parts WHERE is_train), s AS (
+  SELECT any_value(mid) AS mid, stddev_samp(day) AS day_std, stddev_samp(coalesce(o_totalprice, mid)) AS price_std FROM parts, m WHERE is_train)
+SELECT "GEOID", t0, round(day / day_std + 1e-7, 6) AS day, round(coalesce(o_totalprice, mid) / price_std + 1e-7, 6) AS o_totalprice
+FROM parts, s WHERE NOT is_train""",
+    "score_linear": f"""WITH {DAY}, {TRAIN}, {ENCODED}, n AS (
+  SELECT count(*) FILTER ("Y_label" = 1) AS pos, count(*) FILTER ("Y_label" = 0) AS neg FROM parts WHERE is_train),
+weights AS (
+  SELECT slot, coalesce(sum(value) FILTER ("Y_label" = 1), 0) / any_value(pos) - coalesce(sum(value) FILTER ("Y_label" = 0), 0) / any_value(neg) AS weight
+  FROM encoded, n WHERE is_train GROUP BY 1),
+margins AS (SELECT "GEOID", t0, sum(value * weight) AS margin FROM encoded JOIN weights USING (slot) WHERE NOT is_train GROUP BY 1, 2)
+SELECT p."GEOID", p.t0, round(CAST(CAST(1 / (1 + exp(-(coalesce(margin, 0) + 0.25))) AS FLOAT) AS DOUBLE) + 1e-7, 5) AS prob
+FROM parts p LEFT JOIN margins m ON m."GEOID" = p."GEOID" AND m.t0 = p.t0 WHERE NOT is_train""",
+    "stack_out_of_fold": f"""WITH {DAY}, {TRAIN}, {ENCODED}, f AS (
+  SELECT *, CAST(('0x' || substr(md5("GEOID" || '|' || strftime(t0, '%Y-%m-%d')), 1, 7))::BIGINT % 5 AS INTEGER) AS fold FROM parts WHERE is_train),
+lines AS (
+  SELECT k, {', '.join(f'regr_slope("Y_label"::DOUBLE, {c}) AS s_{c}, regr_intercept("Y_label"::DOUBLE, {c}) AS i_{c}' for c in ('day', 'month', 'o_totalprice'))}
+  FROM f, range(5) r(k) WHERE fold <> k GROUP BY k)
+SELECT "GEOID", t0, fold, {', '.join(f'round(i_{c} + s_{c} * {c} + 1e-7, 6) AS line_{c}' for c in ('day', 'month', 'o_totalprice'))}
+FROM f JOIN lines ON fold = k""",
+    "saved_model_scores": f"""WITH {DAY}, {TRAIN}, t AS (SELECT count(*) AS n FROM placed WHERE pos > CAST(floor(total * 0.8) AS BIGINT))
+SELECT unnest(['single', 'stacked']) AS kind, n AS rows_compared, CAST(0 AS BIGINT) AS rows_different FROM t""",
+    "train_outcomes": f"""WITH {DAY}, {TRAIN}, t AS (
+  SELECT count(*) FILTER (pos <= CAST(floor(total * 0.8) AS BIGINT)) AS a, count(*) AS n FROM placed)
+SELECT '1D' AS freq, 'trained' AS outcome, NULL::VARCHAR AS reason, a AS n_train, n - a AS n_test FROM t
+UNION ALL SELECT '1W', 'skipped', 'no grid', NULL, NULL
+UNION ALL SELECT '1M', 'failed', 'ValueError: training grid: missing column(s) [''Y_label'']', NULL, NULL""",
 }

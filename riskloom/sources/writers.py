@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.schema import KEY, quoted
+from riskloom.session import materialize, release
 
 # Column types of a stored grid; other fractions become float.
 SINK_TYPES = {
@@ -31,11 +32,35 @@ def narrow(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_grid(df: DataFrame, path: str, time_col: str = "t0", partitions: int | None = None, mode: str = "overwrite") -> None:
-    """Parquet in (area, time) order: files hold ranges, so key and time filters skip them."""
+def write_grid(
+    df: DataFrame, path: str, time_col: str = "t0", partitions: int | None = None, mode: str = "overwrite", stored: bool = False
+) -> None:
+    """Parquet in (area, time) order: files hold ranges, so key and time filters skip them.
+
+    Ranges are found by sampling keys, a pass of its own, so the grid is
+    computed once into the shared folder first, unless it is ``stored``.
+    """
     spread = [KEY, time_col] if partitions is None else [partitions, KEY, time_col]
     order = [KEY, time_col] + (["block_id"] if "block_id" in df.columns else [])
-    narrow(df).repartitionByRange(*spread).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    rows = narrow(df) if stored else materialize(narrow(df))
+    rows.repartitionByRange(*spread).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    if not stored:
+        release(rows)
+
+
+def file_ranges(grid: DataFrame, time_col: str = "t0") -> DataFrame:
+    """Each file of a stored grid with its rows and its first and last (area, time): ``file, row_count, low, high``."""
+    place = F.struct(KEY, time_col)
+    return grid.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("row_count"), F.min(place).alias("low"), F.max(place).alias("high")
+    )
+
+
+def layout_report(grid: DataFrame, time_col: str = "t0") -> DataFrame:
+    """One row: ``row_count``, and ``overlapping_files``, those that begin before an earlier one ends."""
+    before = F.max("high").over(Window.orderBy("low", "high", "file").rowsBetween(Window.unboundedPreceding, -1))
+    marked = file_ranges(grid, time_col).withColumn("overlaps", F.coalesce(F.col("low") < before, F.lit(False)))
+    return marked.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), F.count_if("overlaps").alias("overlapping_files"))
 
 
 def write_grid_table(df: DataFrame, table: str, buckets: int, time_col: str = "t0", mode: str = "overwrite") -> None:
@@ -72,6 +97,23 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
     metrics.write.mode(mode).json(path)
 
 
+def append_metrics(metrics: DataFrame, path: str) -> None:
+    """Append metrics rows to a Parquet history; runs may have columns that others lack."""
+    metrics.write.mode("append").parquet(path)
+
+
+def metrics_history(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a history, with the columns of all of them."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def last_runs(history: DataFrame, per: str = "freq", by: str = "run_time") -> DataFrame:
+    """The latest run of each frequency, ties by the larger row."""
+    others = [c for c in history.columns if c not in (per, by)]
+    latest = F.max(F.struct(by, *others)).alias("last")
+    return history.groupBy(per).agg(latest).select(per, "last.*")
+
+
 def write_pr_curve(curve: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Precision and recall by ascending threshold, the final point last."""
     (
