@@ -6,7 +6,8 @@ independent pre-tokens, each a run of spaces and the characters after it.
 Frequencies per document travel as one row for each pre-token and block of
 documents, are sorted by pre-token, and meet there the count of pieces, made
 once for each distinct pre-token of the corpus: a merge join in which only the
-frequencies are shuffled.  A very common pre-token has one row a block.
+frequencies are shuffled.  A very common pre-token has one row a block; its
+rows are dealt to several tasks, each of which counts its pieces once.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PLACE_BITS, BATCH_BITS = 13, 20
 BLOCK_ROWS = 1 << PLACE_BITS
 MOST_OFTEN = 1 << (16 - PLACE_BITS)
 FLUSH_ENTRIES = 2_000_000
+#: A pre-token of so many entries in a block is dealt to one more task: a very common one to several hundred.
+ENTRIES_PER_SALT = 16
 PARTIAL = ["block", "sums", "head"]
 _MODELS: dict = {}
 
@@ -71,6 +74,11 @@ def _slices(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     )
 
 
+def _spread(block: int) -> int:
+    """Blocks of all partitions, evenly over any number of salts."""
+    return (block >> PLACE_BITS) * 0x9E3779B1 % (1 << 31)
+
+
 def _frequencies(batches):
     """Per block of documents and pre-token: which documents hold it, and how often."""
     partition = TaskContext.get().partitionId()
@@ -108,12 +116,13 @@ def _frequencies(batches):
             head = np.stack([ids, known.astype(np.int64), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)])
             heads = [None] * size
             heads[carrier] = head.tobytes()
+            salts = np.maximum(1, np.diff(bounds) // ENTRIES_PER_SALT)
             yield pa.record_batch(
                 [
-                    pa.array(list(codes), pa.string()), pa.array(np.full(size, block), pa.int64()),
+                    pa.array(list(codes), pa.string()), pa.array((_spread(block) % salts).astype(np.int32)), pa.array(np.full(size, block), pa.int64()),
                     _slices((place | ((freq - 1) << PLACE_BITS)).astype(np.uint16), bounds), pa.array(heads, pa.binary()),
                 ],
-                ["word", "block", "entries", "head"],
+                ["word", "salt", "block", "entries", "head"],
             )
 
 
@@ -154,13 +163,16 @@ def _sums(path: str):
                 yield pa.record_batch([carriers.column(1), none, carriers.column(3)], PARTIAL)
             lists = batch.column(2).to_pylist()
             length = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
-            entry = np.frombuffer(b"".join(lists), np.uint16)
-            rows.append(np.repeat(block, length) + (entry & (BLOCK_ROWS - 1)))
-            sizes.append(np.repeat(pieces, length) * ((entry >> PLACE_BITS) + 1))
-            held += len(entry)
-            if held > FLUSH_ENTRIES:
-                yield flush()
-                rows, sizes, held = [], [], 0
+            # Entries are widened a bounded number at a time, however many the rows of a batch have.
+            part = (np.cumsum(length) - 1) // FLUSH_ENTRIES
+            for own in np.split(np.arange(len(lists)), np.flatnonzero(np.diff(part)) + 1):
+                entry = np.frombuffer(b"".join(lists[own[0] : own[-1] + 1]), np.uint16)
+                rows.append(np.repeat(block[own], length[own]) + (entry & (BLOCK_ROWS - 1)))
+                sizes.append(np.repeat(pieces[own], length[own]) * ((entry >> PLACE_BITS) + 1))
+                held += len(entry)
+                if held > FLUSH_ENTRIES:
+                    yield flush()
+                    rows, sizes, held = [], [], 0
         if rows:
             yield flush()
 
@@ -202,17 +214,18 @@ def token_counts(docs: DataFrame, limit: int = 4096, vocabulary: str | None = No
 
     One row per input row, repeated rows and null ids included.  A null text
     counts as empty: 0 bytes, 0 tokens.  An empty table gives an empty result.
-    Other columns are ignored.  Special strings in a text are plain text.
+    Other columns are ignored.  Special strings in a text are plain text.  A
+    very long text is split whole, as one row; its frequencies travel.
     ``limit`` is the count above which ``over_limit`` is true.
     """
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
     check_splittable(path)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     frequencies = texts.select("text", "doc_id", F.octet_length("text").cast("long").alias("n_bytes")).mapInArrow(
-        _frequencies, "word string, block long, entries binary, head binary"
+        _frequencies, "word string, salt int, block long, entries binary, head binary"
     )
     width = shuffle_width(docs.sparkSession)
-    partial = frequencies.repartition(width, "word").sortWithinPartitions("word").mapInArrow(
+    partial = frequencies.repartition(width, "word", "salt").sortWithinPartitions("word").select("word", "block", "entries", "head").mapInArrow(
         _sums(path), "block long, sums binary, head binary"
     )
     return partial.repartition(width, "block").sortWithinPartitions("block").mapInArrow(
