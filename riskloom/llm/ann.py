@@ -59,15 +59,16 @@ class Tree:
             waiting += [(first + k, rows[nearest == k]) for k in range(last - first) if (nearest == k).any()]
         return out
 
-    def visit(self, query: np.ndarray, visits: int) -> list[int]:
-        """Leaves in the order of best bin first."""
-        queue, found, reached = [(0.0, 0)], [], 0
-        while queue and reached < visits:
+    def visit(self, query: np.ndarray, visits: int, members: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order of best bin first: so many, and more until they hold ``least`` members."""
+        queue, found, reached, held = [(0.0, 0)], [], 0, 0
+        while queue and (reached < visits or held < least):
             _, node = heapq.heappop(queue)
             first, last = self.children[node]
             if first == last:
                 found.append(self.leaf[node])
                 reached += 1
+                held += int(members[self.leaf[node]]) if members is not None else least
                 continue
             away = ((self.centres[first:last] - query) ** 2).sum(axis=1)
             for k, distance in enumerate(away):
@@ -187,12 +188,12 @@ def _deal(tree: Tree):
     return run
 
 
-def _walk(tree: Tree, visits: int):
+def _walk(tree: Tree, visits: int, members: np.ndarray, least: int):
     def run(batches):
         for batch in batches:
             for asked, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 scaled = np.asarray(vector) * (tree.longest / max(1e-300, float(np.linalg.norm(vector))))
-                leaves = tree.visit(np.append(scaled, 0.0), visits)
+                leaves = tree.visit(np.append(scaled, 0.0), visits, members, least)
                 n = len(leaves)
                 yield pa.record_batch(
                     [pa.array([asked] * n, pa.int64()), pa.array([vector] * n, pa.list_(pa.float64())), pa.array(leaves, pa.int64())],
@@ -229,6 +230,8 @@ def nearest(rows: DataFrame, step: int = 20, k: int = 20, recall: float = RECALL
     another length than most.  Of rows that repeat an id and vector one
     counts; a repeated id with several vectors is asked once for each and the
     best scores count.  An empty table gives no rows; other columns are ignored.
+    A walk goes on until the visited leaves hold ``k`` others, so a query has
+    fewer rows only if there are fewer candidates.
     """
     spark = rows.sparkSession
     usable = sound(rows)
@@ -252,7 +255,12 @@ def nearest(rows: DataFrame, step: int = 20, k: int = 20, recall: float = RECALL
     askers = materialize(queries.groupBy("vector").agg(F.min("vec_id").alias("asked")))
     checks = askers.orderBy(F.xxhash64("asked"), "asked").limit(CALIBRATION_QUERIES).toPandas()
     visits = calibrate(tree, dealt, _matrix(checks["vector"]) if len(checks) else np.zeros((0, lengths.n)), k, recall)
-    visitors = materialize(askers.select("asked", "vector").mapInArrow(_walk(tree, visits), "asked long, vector array<double>, leaf long"))
+    # Ids by leaf: the visits of an outlier end only where it has met enough of them.
+    members = np.zeros(tree.leaves, np.int64)
+    for row in dealt.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
+        members[row.leaf] = row.n
+    walk = _walk(tree, visits, members, k + 1)
+    visitors = materialize(askers.select("asked", "vector").mapInArrow(walk, "asked long, vector array<double>, leaf long"))
     # Members and visitors of a leaf are both dealt to chunks; every pair of chunks is one group of bounded size.
     chunks = lambda frame, name: frame.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias(name))
     sizes = chunks(dealt, "across").join(chunks(visitors, "down"), "leaf")
