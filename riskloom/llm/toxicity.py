@@ -127,7 +127,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 
 def _dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     ordinary = [t for t, y in rows if not y]
-    base = _train([w for t in ordinary[:DICTIONARY_ROWS] for w in windows(t)]) or b" " * 8
+    # Rows come by id; every so many-th is taken, so that no end of the ids is preferred.
+    spread = ordinary[:: max(1, -(-len(ordinary) // DICTIONARY_ROWS))]
+    base = _train([w for t in spread for w in windows(t)]) or b" " * 8
     words = toxic_words([t for t, y in rows if y], ordinary)
     return base, base + b" " + b" ".join(words)[-TOXIC_BYTES:] + b" "
 
@@ -163,10 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     chosen = known.where(
         F.pmod(F.xxhash64("label_id"), F.lit(places)) < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0])
     )
-    short = docs.where(F.char_length("text") <= FIT_CHARS)
+    # Texts beyond FIT_CHARS are taken with a chance that falls with their length: the sample's characters stay bounded.
+    fits = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(places)) * F.char_length("text") < FIT_CHARS * places
     rows = (
         # The sample's bound holds for the broadcast too, so texts are not shuffled.
-        short.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").toPandas()
+        docs.where(fits).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+        .select("doc_id", "text", "toxic").distinct().toPandas()
         .sort_values(["doc_id", "text"], kind="stable")
     )
     return fit_texts(list(rows["text"]), [int(y) for y in rows["toxic"]])
