@@ -1,33 +1,34 @@
 """Dropping lines that many documents repeat, through sharded minimal perfect hashes.
 
 Every distinct line key is hashed to 128 bits and counted.  Keys are dealt to
-shards of bounded size; each shard is one row with a minimal perfect hash and
-the arrays it indexes: fingerprints, document counts, owners (the largest id
-that holds the line).  Documents send packed arrays of hashes to the shards,
-which answer which of them are to be dropped: lines are never joined one by
-one.  Keys so frequent that their probes would crowd a shard are few by
-counting (at most ``HEAVY_KEYS``, or a fraction of the shards), and are
-answered from a broadcast table instead.
+shards; each shard is one row with a minimal perfect hash and the arrays it
+indexes: fingerprints, document counts, owners (the largest id that holds the
+line).  Documents send packed arrays of hashes to the shards, which answer
+which of them are to be dropped: lines are never joined one by one.  Keys so
+frequent that their probes would crowd a shard are few by counting (at most
+``HEAVY_KEYS``, whatever the input) and are answered from a broadcast table at
+once; those answers travel in packs of their own.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.session import materialize
-
 from .common import ASCII_SPACE, ascii_lower, fresh
 
-SHARD_KEYS = 65_536
-HEAVY_KEYS = 20_000
-SHARDS_PER_HEAVY = 16
+#: Keys of a shard; beyond ``MOST_SHARDS`` shards grow instead, so that a pack has several probes for each.
+SHARD_KEYS, MOST_SHARDS = 65_536, 131_072
+#: Keys held by more than one in so many lines are answered from a broadcast table (under 10 MB).
+HEAVY_KEYS = 100_000
 #: Bits of each level of the perfect hash for every key left; levels before the rest is listed plainly.
 GAMMA, LEVELS = 1.7, 32
 PACK_ROWS = 500_000
+#: Packs of answers have negative shards: partition, then number of the pack.
+PACK_SHIFT = 24
 COUNT_MAX = 65_535
 NO_ID = np.iinfo(np.int64).min
 
@@ -83,66 +84,84 @@ class PerfectHash:
         return out
 
 
-def _index(pdf: pd.DataFrame) -> pd.DataFrame:
+INDEX = "shard long, sizes array<long>, bits binary, rest binary, prints binary, counts binary, owners binary"
+ANSWERS = "doc long, body long, first long"
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy() if column.null_count else column.to_numpy()
+
+
+def _index(keys: pa.Table) -> pa.Table:
     """One shard's index row."""
-    first, second = pdf["first"].to_numpy(), pdf["second"].to_numpy()
+    first, second = _numbers(keys["first"]), _numbers(keys["second"])
     perfect = PerfectHash.build(first, second)
     at = perfect.find(first, second)
-    prints, counts = np.empty(len(at), "<u4"), np.empty(len(at), "<u2")
-    owners = np.empty(len(at), "<i8")
+    prints, counts, owners = np.empty(len(at), "<u4"), np.empty(len(at), "<u2"), np.empty(len(at), "<i8")
     prints[at] = second.astype(np.uint64) & np.uint64(0xFFFFFFFF)
-    counts[at] = np.minimum(pdf["n"].to_numpy(), COUNT_MAX)
-    owners[at] = pdf["owner"].fillna(NO_ID).to_numpy(np.int64) if pdf["owner"].isna().any() else pdf["owner"].to_numpy(np.int64)
+    counts[at] = np.minimum(_numbers(keys["n"]), COUNT_MAX)
+    owners[at] = _numbers(keys["owner"])
     row = {
-        "shard": [pdf["shard"].iloc[0]], "sizes": [perfect.sizes], "bits": [perfect.bits.tobytes()],
+        "shard": [keys["shard"][0].as_py()], "sizes": [perfect.sizes], "bits": [perfect.bits.tobytes()],
         "rest": [perfect.rest.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "owners": [owners.tobytes()],
     }
-    return pd.DataFrame(row)
-
-
-INDEX = "shard long, sizes array<long>, bits binary, rest binary, prints binary, counts binary, owners binary"
+    kinds = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 5
+    return pa.table([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
 
 def _pack(batches):
-    """Many probes of a task become one row for each shard."""
-    held, n = [], 0
+    """Many probes of a task become one row for each shard; what is known already becomes a row of answers."""
+    part, packs = TaskContext.get().partitionId(), 0
+    asked, known, n = [], [], 0
 
     def flush():
-        rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        shards, starts = np.unique(rows[0], return_index=True)
-        data = [np.ascontiguousarray(x).tobytes() for x in np.split(rows[1:], starts[1:], axis=1)]
-        return pa.record_batch([pa.array(shards), pa.array(data, pa.binary())], ["shard", "probes"])
+        nonlocal packs
+        shards, data = [], []
+        if asked:
+            rows = np.concatenate(asked, axis=1)
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            own, starts = np.unique(rows[0], return_index=True)
+            shards += own.tolist()
+            data += [np.ascontiguousarray(x).tobytes() for x in np.split(rows[1:], starts[1:], axis=1)]
+        if known:
+            shards.append(-1 - (part << PACK_SHIFT | packs))
+            data.append(np.concatenate(known, axis=1).tobytes())
+        packs += 1
+        return pa.record_batch([pa.array(shards, pa.int64()), pa.array(data, pa.binary())], ["shard", "probes"])
 
     for batch in batches:
-        columns = [c.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        held.append(np.stack(columns))
+        shard, first, second, doc, body = (_numbers(batch.column(k)) for k in range(5))
+        open_ = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+        if open_.any():
+            asked.append(np.stack([shard[open_], first[open_], second[open_], doc[open_], body[open_]]))
+        if not open_.all():
+            known.append(np.stack([doc[~open_], body[~open_], first[~open_]]))
         n += batch.num_rows
         if n >= PACK_ROWS:
             yield flush()
-            held, n = [], 0
+            asked, known, n = [], [], 0
     if n:
         yield flush()
 
 
 def _answer(min_docs: int):
-    def run(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc", "body", "first"]
-        if probes.empty or index.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
-        row = index.iloc[0]
-        perfect = PerfectHash(list(row["sizes"]), np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["rest"], np.int64).reshape(2, -1))
-        prints, counts = np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["counts"], "<u2")
-        owners = np.frombuffer(row["owners"], "<i8")
-        out = []
-        for data in probes["probes"]:
-            first, second, doc, body = np.frombuffer(data, np.int64).reshape(4, -1)
-            at = perfect.find(first, second)
-            known = (at >= 0) & (prints[at] == (second.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
-            drop = known & (counts[at] >= min_docs) & (owners[at] != doc)
-            out.append(np.stack([doc[drop], body[drop], first[drop]]))
+    def run(probes: pa.Table, index: pa.Table) -> pa.Table:
+        out = [np.empty((3, 0), np.int64)]
+        packs = probes["probes"].to_pylist()
+        if packs and probes["shard"][0].as_py() < 0:
+            out += [np.frombuffer(data, np.int64).reshape(3, -1) for data in packs]
+        elif packs and index.num_rows:
+            row = index.to_pylist()[0]
+            perfect = PerfectHash(row["sizes"], np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["rest"], np.int64).reshape(2, -1))
+            prints, counts, owners = (np.frombuffer(row[c], kind) for c, kind in (("prints", "<u4"), ("counts", "<u2"), ("owners", "<i8")))
+            for data in packs:
+                first, second, doc, body = np.frombuffer(data, np.int64).reshape(4, -1)
+                at = perfect.find(first, second)
+                met = (at >= 0) & (prints[at] == (second.astype(np.uint64) & np.uint64(0xFFFFFFFF)))
+                drop = met & (counts[at] >= min_docs) & (owners[at] != doc)
+                out.append(np.stack([doc[drop], body[drop], first[drop]]))
         doc, body, first = np.concatenate(out, axis=1)
-        return pd.DataFrame({"doc": pd.Series(doc).astype("Int64").mask(doc == NO_ID), "body": body, "first": first})
+        return pa.table([pa.array(doc, mask=doc == NO_ID), pa.array(body), pa.array(first)], ["doc", "body", "first"])
 
     return run
 
@@ -167,22 +186,19 @@ def dropped_hashes(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.explode(distinct_keys(text, min_chars)).alias("key")
     ).select("doc", "body", _hash(F.col("key")).alias("first"), F.xxhash64(F.lit(7), "key").alias("second"))
-    stats = materialize(lines.groupBy("first", "second").agg(F.count("*").alias("n"), F.max("doc").alias("owner")))
-    keys, total = stats.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-keys // SHARD_KEYS))
+    # A line of so many characters has so many bytes at least, and one more that ends it.
+    most = docs.agg(F.coalesce(F.sum(F.floor((F.octet_length(text) + 1) / (min_chars + 1))), F.lit(0))).first()[0]
+    shards = min(MOST_SHARDS, max(1, -(-most // SHARD_KEYS)))
     shard = F.pmod(F.col("first"), F.lit(shards)).alias("shard")
-    index = stats.select(shard, "first", "second", "n", "owner").groupBy("shard").applyInPandas(_index, INDEX)
-    # Counts add up to the total, so at most this many keys can exceed the bound.
-    bound = total // max(HEAVY_KEYS, shards // SHARDS_PER_HEAVY)
-    heavy = stats.where(F.col("n") > bound).select("first", "second", F.col("n").alias("heavy_n"), "owner")
+    stats = lines.groupBy("first", "second").agg(F.count("*").alias("n"), F.max("doc").alias("owner"))
+    index = stats.select(shard, "first", "second", "n", "owner").groupBy("shard").applyInArrow(_index, INDEX)
+    # Counts add up to the lines, so at most HEAVY_KEYS keys can exceed this.
+    heavy = stats.where(F.col("n") > most // HEAVY_KEYS).select("first", "second", F.col("n").alias("heavy_n"), "owner")
     told = lines.join(F.broadcast(heavy), ["first", "second"], "left")
-    common = told.where((F.col("heavy_n") >= min_docs) & ~F.col("owner").eqNullSafe(F.col("doc"))).select("doc", "body", "first")
-    probes = (
-        told.where("heavy_n is null").select(shard, "first", "second", "doc", "body")
-        .mapInArrow(_pack, "shard long, probes binary")
-    )
-    answers = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_answer(min_docs), "doc long, body long, first long")
-    return common.union(answers).groupBy("doc", "body").agg(F.collect_list("first").alias("drop"))
+    goes = F.when(F.col("heavy_n").isNotNull(), (F.col("heavy_n") >= min_docs) & ~F.col("owner").eqNullSafe(F.col("doc"))).alias("goes")
+    probes = told.select(shard, "first", "second", "doc", "body", goes).where("goes is null or goes").mapInArrow(_pack, "shard long, probes binary")
+    answers = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_answer(min_docs), ANSWERS)
+    return answers.groupBy("doc", "body").agg(F.collect_set("first").alias("drop"))
 
 
 def dedup_lines(
@@ -197,16 +213,17 @@ def dedup_lines(
     row holds.  A null or empty text is one empty line (its text becomes
     empty); a document may lose all lines, and stays with an empty text.  An
     empty table gives no rows.  The two new columns replace input columns of
-    the same names.
+    the same names.  A very long text is split and joined by one row's
+    expression; its lines travel as hashes.
     """
     if not 1 <= min_docs <= COUNT_MAX:
         raise ValueError(f"min_docs must be from 1 to {COUNT_MAX}")
     drops = dropped_hashes(docs, min_chars, min_docs)
-    doc, body, drop, lines = fresh(docs, "_doc", "_body", "_drop", "_lines")
+    doc, body, drop, lines, other_doc, other_body = fresh(docs, "_doc", "_body", "_drop", "_lines", "_doc2", "_body2")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), body: F.xxhash64(text)})
-    drops = drops.select(F.col("doc").alias(f"{doc}2"), F.col("body").alias(f"{body}2"), F.col("drop").alias(drop))
-    joined = keyed.join(drops, F.col(doc).eqNullSafe(F.col(f"{doc}2")) & (F.col(body) == F.col(f"{body}2")), "left")
+    drops = drops.select(F.col("doc").alias(other_doc), F.col("body").alias(other_body), F.col("drop").alias(drop))
+    joined = keyed.join(drops, F.col(doc).eqNullSafe(F.col(other_doc)) & (F.col(body) == F.col(other_body)), "left")
     stays = lambda line: ~(
         (F.char_length(line_key(line)) >= min_chars) & F.array_contains(F.col(drop), _hash(line_key(line)))
     )

@@ -7,7 +7,7 @@ from riskloom.llm import line_dedup
 from riskloom.llm.line_dedup import PerfectHash, dedup_lines
 from riskloom.llm.queries import LINE_DEDUP_SQL, QUERIES
 
-SCHEMA = "doc_id long, text string, n_lines string, _drop string, doc string"
+SCHEMA = "doc_id long, text string, n_lines string, _drop string, doc string, _doc string, _doc2 string, _body2 string"
 LONG = "a line that is long enough"
 
 
@@ -52,13 +52,18 @@ def test_odd_rows(spark, monkeypatch):
     ]
     rows = list(enumerate(texts)) + [(3, "twice the same long line here"), (3, "twice the same long line here"), (None, LONG)]
     rows += [(None, "a line without any document id")] * 3
-    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    frame = spark.createDataFrame([(*r, "x", "y", "z", "a", "b", "c") for r in rows], SCHEMA)
     assert result(frame) == brute(rows)
     monkeypatch.setattr(line_dedup, "HEAVY_KEYS", 1)  # all through the shards
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 500)
     assert result(frame.repartition(5)) == brute(rows)
+    monkeypatch.setattr(line_dedup, "MOST_SHARDS", 3)
+    monkeypatch.setattr(line_dedup, "PACK_ROWS", 2)
+    assert result(frame) == brute(rows)
+    monkeypatch.setattr(line_dedup, "HEAVY_KEYS", 10**9)  # all through the broadcast table
+    assert result(frame) == brute(rows)
     got = dedup_lines(frame)
-    assert got.columns == ["doc_id", "text", "_drop", "doc", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "_drop", "doc", "_doc", "_doc2", "_body2", "n_lines", "n_dropped"]
     assert result(spark.createDataFrame([], SCHEMA)) == []
 
 
