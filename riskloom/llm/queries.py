@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .packing import pack
 from .pii import pseudonyms
 from .repair import repair
 from .simhash import near_components
-from .spelling import count_words, runs, variants
+from .spelling import count_runs, variants
 from .token_files import read_token_files, write_token_files
 from . import langid, sql, toxicity
 from .token_counts import token_counts
@@ -97,14 +98,16 @@ def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def _lose_one(doc_id: str | None, found: list[str]) -> list[str]:
+    """Every 199th run by crc32 of ``<doc_id>:<run>`` loses the code point that the same hash points at."""
+    start = zlib.crc32(f"{doc_id or ''}:".encode())
+    marks = [zlib.crc32(run.encode(), start) for run in found]
+    return [run if mark % 199 else run[: mark % len(run)] + run[mark % len(run) + 1 :] for run, mark in zip(found, marks)]
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
-    """Every 199th run by hash loses a code point first (so shorter runs give no word); a null id is an empty one."""
-    found = runs(table(spark, folder, "documents", "doc_id", "text"), min_chars=6)
-    mark = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary"))
-    place = (mark % F.char_length("run")).cast("int")
-    shorter = F.concat(F.substring("run", F.lit(1), place), F.expr("substring(run, cast(mark % char_length(run) as int) + 2)"))
-    words = found.withColumn("mark", mark).select(F.when(F.col("mark") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
-    return variants(count_words(words))
+    """Some runs lose a code point first (so shorter runs give no word); a null id is an empty one."""
+    return variants(count_runs(table(spark, folder, "documents", "doc_id", "text"), edit=_lose_one))
 
 
 QUERIES = {

@@ -14,6 +14,9 @@ in the middle, at the node of its own half, where few branches are left.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -29,6 +32,8 @@ LETTERS = "[A-Za-zÀ-ÿ]"
 SHORT = 3
 STATE = ["word", "reversed", "position", "node", "edits"]
 STEP = "word string, reversed boolean, position int, node long, edits int, near string"
+#: A task's counts are passed on when they hold so many words, or characters of runs longer than the last number.
+FLUSH_WORDS, FLUSH_CHARS, LONG_RUN = 100_000, 4_000_000, 64
 
 
 def runs(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -42,6 +47,45 @@ def count_words(words: DataFrame, min_chars: int = 6, min_count: int = 5) -> Dat
     return words.where(F.char_length("word") >= min_chars).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
+def _tally(min_chars: int, edit: Callable[[str | None, list[str]], list[str]] | None):
+    letters = re.compile(f"{LETTERS}{{{min_chars},}}")
+
+    def run(batches):
+        counts: Counter[str] = Counter()
+        held = 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # Of the bytes of UTF-8 lower() changes A-Z alone.
+                found = letters.findall((text.as_py() or "").encode().lower().decode())
+                counts.update(edit(doc_id, found) if edit else found)
+                held += sum(len(x) for x in found if len(x) > LONG_RUN)
+                if len(counts) >= FLUSH_WORDS or held >= FLUSH_CHARS:
+                    yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                    counts.clear()
+                    held = 0
+        if counts:
+            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+    return run
+
+
+def count_runs(
+    docs: DataFrame, min_chars: int = 6, min_count: int = 5, edit: Callable[[str | None, list[str]], list[str]] | None = None
+) -> DataFrame:
+    """``word, n`` of the lower-cased runs of whole texts, of at least so many code points and occurrences.
+
+    ``edit`` may change the runs of a document (its id as text, its runs of at
+    least ``min_chars``) before they are counted; it must be a pure function.
+    Null texts have no run, repeated rows count each; a word is counted in each
+    task before it is shuffled.
+    """
+    counts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _tally(min_chars, edit), "word string, n long"
+    )
+    totals = counts.where(F.char_length("word") >= min_chars).groupBy("word").agg(F.sum("n").alias("n"))
+    return totals.where(F.col("n") >= min_count)
+
+
 def _node(text: Column, depth: Column, reversed_: Column) -> Column:
     """The trie node of a prefix.  Equal hashes of different prefixes only add candidates, which are checked."""
     return F.xxhash64(reversed_, F.substring(text, F.lit(1), depth))
@@ -62,11 +106,17 @@ def _oriented(words: DataFrame) -> DataFrame:
     return forward.unionByName(backward)
 
 
+def _bit(character: Column) -> Column:
+    """One of 64 bits for a character; characters that share a bit only add candidates."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(character) % 64).cast("int"))
+
+
 def trie_edges(words: DataFrame) -> DataFrame:
-    """``node, label, child, final, least, most``: edges between branches, starts and ends.
+    """``node, label, child, final, least, most, below``: edges between branches, starts and ends.
 
     ``final`` is the word that ends at the child; words below it are ``least``
-    to ``most`` characters longer than the child's prefix.
+    to ``most`` characters longer than the child's prefix and go on with one of
+    the characters in ``below``.
     """
     oriented = _oriented(words)
     size = F.char_length("word")
@@ -77,18 +127,42 @@ def trie_edges(words: DataFrame) -> DataFrame:
     stays = prefixes.groupBy("node").agg(
         F.min(following).alias("low"), F.max(following).alias("high"),
         F.max((F.col("depth") == size) | (F.col("depth") == F.col("start"))).alias("marked"),
-    ).where(F.col("marked") | (F.col("low") != F.col("high"))).select("node")
-    depths = prefixes.join(stays, "node").groupBy("word", "reversed").agg(F.sort_array(F.collect_set("depth")).alias("depths"))
-    steps = depths.select("word", "reversed", "depths", F.explode(F.sequence(F.lit(1), F.size("depths"))).alias("at")).where(
-        F.col("at") < F.size("depths")
+        F.coalesce(F.bit_or(_bit(following)), F.lit(0).cast("long")).alias("below"),
+    ).where(F.col("marked") | (F.col("low") != F.col("high"))).select("node", "below")
+    stops = F.sort_array(F.collect_set(F.struct("depth", "below"))).alias("stops")
+    depths = prefixes.join(stays, "node").groupBy("word", "reversed").agg(stops)
+    steps = depths.select("word", "reversed", "stops", F.explode(F.sequence(F.lit(1), F.size("stops"))).alias("at")).where(
+        F.col("at") < F.size("stops")
     )
-    begin, end = F.get("depths", F.col("at") - 1), F.get("depths", F.col("at"))
+    reached = F.get("stops", F.col("at"))
+    begin, end = F.get("stops", F.col("at") - 1)["depth"], reached["depth"]
     edges = steps.select(
         _node(F.col("word"), begin, F.col("reversed")).alias("node"), F.substring("word", begin + 1, end - begin).alias("label"),
         _node(F.col("word"), end, F.col("reversed")).alias("child"),
         F.when(end == size, F.when(F.col("reversed"), F.reverse("word")).otherwise(F.col("word"))).alias("final"), (size - end).alias("left"),
+        reached["below"].alias("below"),
+    )
+    return edges.groupBy("node", "label", "child").agg(
+        F.max("final").alias("final"), F.min("left").alias("least"), F.max("left").alias("most"), F.max("below").alias("below")
     )
-    return edges.groupBy("node", "label", "child").agg(F.max("final").alias("final"), F.min("left").alias("least"), F.max("left").alias("most"))
+
+
+def _may_follow() -> Column:
+    """Whether a state (``word, position, edits``) can go along an edge: looks one character beyond the label.
+
+    Holds wherever word and label share their first character and no edit is
+    spent; ``_moves`` tells the rest.
+    """
+    at, n = F.col("position"), F.char_length("label")
+    part = lambda start, length: F.substring("word", start + 1, length)
+    open_ = lambda place: (place >= F.char_length("word")) | (F.col("below").bitwiseAND(_bit(part(place, F.lit(1)))) != 0)
+    rest = F.substring("label", F.lit(2), n)
+    agrees = (part(at, n) == F.col("label")) & open_(at + n)
+    longer_label = (part(at, n - 1) == rest) & open_(at + n - 1)
+    replaced = (part(at + 1, n - 1) == rest) & open_(at + n)
+    longer_word = (part(at + 1, n) == F.col("label")) & open_(at + n + 1)
+    same_first = F.substring("label", 1, 1) == part(at, F.lit(1))
+    return F.when(F.col("edits") == 1, agrees).otherwise(same_first | longer_label | replaced | longer_word)
 
 
 def _moves(word: str, at: int, edits: int, label: str) -> list[tuple[int, int]]:
@@ -117,13 +191,15 @@ def _advance(batches):
     names = [c.split()[0] for c in STEP.split(", ")]
     for batch in batches:
         out: list[tuple] = []
-        for word, reversed_, at, edits, label, child, final, least, most in zip(*(c.to_pylist() for c in batch.columns)):
+        for word, reversed_, at, edits, label, child, final, least, most, below in zip(*(c.to_pylist() for c in batch.columns)):
             for position, spent in _moves(word, at, edits, label):
                 left, open_ = len(word) - position, 1 - spent
                 if final is not None and left == open_:
                     out.append((word, reversed_, position, child, spent, final))
                 # On to where longer words lie, if one of them is of a length that can be reached.
-                if most and least - open_ <= left <= most + open_:
+                if not (most and least - open_ <= left <= most + open_):
+                    continue
+                if open_ or (left and below >> ord(word[position]) % 64 & 1):
                     out.append((word, reversed_, position, child, spent, None))
         if out:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names)
@@ -143,11 +219,10 @@ def near_words(words: DataFrame) -> DataFrame:
     )
     found: list[DataFrame] = []
     while True:
-        fits = (F.col("edits") == 0) | (F.substring("label", 1, 1) == F.substring("word", F.col("position") + 1, F.lit(1)))
         left = F.char_length("word") - F.col("position") - F.char_length("label")
         reach = left.between(F.col("least") - 1 + F.col("edits"), F.col("most") + 1 - F.col("edits"))
-        met = frontier.join(edges, "node").where(fits & reach).select(
-            "word", "reversed", "position", "edits", "label", "child", "final", "least", "most"
+        met = frontier.join(edges, "node").where(reach & _may_follow()).select(
+            "word", "reversed", "position", "edits", "label", "child", "final", "least", "most", "below"
         )
         level = materialize(met.mapInArrow(_advance, STEP))
         found.append(level.where("near is not null"))

@@ -5,7 +5,8 @@ import pytest
 from compare import canonical, connect
 
 from riskloom.llm import queries, sql
-from riskloom.llm.spelling import count_words, near_words, runs, variants
+from riskloom.llm import spelling
+from riskloom.llm.spelling import count_runs, count_words, near_words, runs, variants
 
 SCHEMA = "word string, n long, node long, near string"
 
@@ -33,7 +34,7 @@ def brute(counts, ratio=5):
     return out
 
 
-@pytest.mark.parametrize("letters, longest, size", [("ab", 7, 120), ("abc", 5, 200), ("aé\U0001f600", 4, 60), ("abcdefgh", 12, 150)])
+@pytest.mark.parametrize("letters, longest, size", [("ab", 7, 120), ("abc", 5, 200), ("aé\U0001f600", 4, 60), ("abcdefgh", 12, 150), ("aá!", 6, 200)])
 def test_against_all_pairs(spark, letters, longest, size):
     rng = random.Random(size)
     words = {"".join(rng.choices(letters, k=rng.randint(1, longest))) for _ in range(size)}
@@ -68,6 +69,20 @@ def test_odd_tables(spark):
     assert counted.count() == 2
 
 
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_counts_by_task_equal_counts_of_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(spelling, "FLUSH_WORDS", most)
+    rows = [(i, " ".join(random.Random(i).choices(["Été", "ÉTÉ", "abc", "ABC", "a\u00d7b", "x1y", "\U0001f600q", "İab"], k=30)), "w") for i in range(40)]
+    rows += [(None, "abc"), (1, None), (2, ""), (3, "w" * 300_000), (3, "w" * 300_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    wanted = {tuple(r) for r in count_words(runs(docs).withColumnRenamed("run", "word"), 2, 2).collect()}
+    assert {tuple(r) for r in count_runs(docs.withColumn("word", docs.text), 2, 2).collect()} == wanted
+    assert ("w" * 300_000, 2) in wanted
+    assert count_runs(docs.limit(0)).collect() == []
+    shouted = count_runs(docs, 2, 2, edit=lambda doc_id, found: [x + "!" for x in found if doc_id is not None])
+    assert {r.word for r in shouted.collect()} <= {w + "!" for w, _ in wanted}
+
+
 def test_pairs_come_both_ways(spark):
     words = spark.createDataFrame([("colour", 9), ("color", 5), ("colours", 3)], "word string, n long")
     got = {tuple(r) for r in near_words(words).collect()}
