@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import vocabulary_path
-from .word_ids import encoder
+from .word_ids import MEMO_WORDS, encoder
 
 #: Bits of a sequence id: bucket, partition, number within the partition.
 BUCKET_SHIFT, PARTITION_SHIFT = 57, 33
@@ -33,7 +33,7 @@ def piece_lengths(n: int, window: int) -> list[int]:
     return [window] * (n // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _packer(path: str, window: int, end_id: int, with_ids: bool):
+def _packer(path: str, window: int, end_id: int, with_ids: bool, memo_words: int):
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
@@ -46,7 +46,8 @@ def _packer(path: str, window: int, end_id: int, with_ids: bool):
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).ids(batch.column(1).to_pylist(), end_id)):
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, memo_words).ids(texts, end_id)):
                 data = memoryview(ids.astype("<u4").tobytes())
                 start = 0
                 for length in piece_lengths(len(ids), window):
@@ -67,7 +68,12 @@ def _packer(path: str, window: int, end_id: int, with_ids: bool):
 
 
 def pack(
-    docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | None = None, with_ids: bool = False
+    docs: DataFrame,
+    window: int = 2048,
+    end_id: int = 1,
+    vocabulary: str | None = None,
+    with_ids: bool = False,
+    memo_words: int = MEMO_WORDS,
 ) -> DataFrame:
     """Cut every document into sequences of power-of-two length, at most ``window``.
 
@@ -77,14 +83,15 @@ def pack(
     piece.  Repeated rows are packed each on its own; a null ``doc_id`` stays
     null; an empty table gives no rows; other columns are ignored.
     ``sequence_id`` is unique in one result; its number within a bucket
-    depends on how the input is partitioned.
+    depends on how the input is partitioned.  A worker keeps the ids of up to
+    ``memo_words`` words, some 200 bytes each; fewer cost time, not results.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
     path = vocabulary or vocabulary_path("word_bpe_49k.json")
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _packer(path, window, end_id, with_ids), schema
+        _packer(path, window, end_id, with_ids, memo_words), schema
     )
 
 

@@ -23,11 +23,11 @@ LONG_WORD = 64
 _ENCODERS: dict = {}
 
 
-def encoder(path: str) -> "WordEncoder":
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> "WordEncoder":
     """The worker's encoder for a vocabulary file; its memo lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, memo_words) not in _ENCODERS:
+        _ENCODERS[path, memo_words] = WordEncoder(path, memo_words)
+    return _ENCODERS[path, memo_words]
 
 
 class _Words(dict):
