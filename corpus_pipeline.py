@@ -10,6 +10,9 @@ from riskloom.llm.common import table
 from riskloom.llm.line_dedup import dedup_lines
 from riskloom.session import materialize
 
+#: Words whose ids a worker of the last stage keeps; the workers of earlier stages still hold theirs.
+MEMO_WORDS = 400_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go.
@@ -51,7 +54,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left becomes sequences of power-of-two length; every row has one at least, that of an empty text its end id."""
-    return packing.pack(docs)
+    return packing.pack(docs, memo_words=MEMO_WORDS)
 
 
 STAGES = [
