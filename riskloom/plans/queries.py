@@ -33,7 +33,7 @@ from riskloom.schema import COUNT, KEY, LABEL, label, quoted
 from riskloom.session import TABLE_PREFIX, checkpoint_root, materialize, use_utc
 from riskloom.sources.contracts import Contract, line_kind, read_lines, watching_session
 from riskloom.sources.readers import read_columns, resolve_event_time, schema_report
-from riskloom.sources.writers import append_metrics, export_rows, last_runs, layout_report, metrics_history, write_forecast, write_grid
+from riskloom.sources.writers import append_metrics, export_rows, last_runs, layout_report, metrics_history, narrow, write_forecast, write_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +113,16 @@ def q_calendar_local(spark, folder):
     return add_calendar(orders, "t0", TZ, hour_start="clock")
 
 
+@query("stored_types")
+def q_stored_types(spark, folder):
+    """Calendar columns and values as a grid stores them; what the 32-bit value is shows as a double."""
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("dt"), "value")
+    stored = narrow(add_calendar(events, "dt", hourly=True).withColumn(LABEL, (F.col("value") > 50).cast("int")))
+    names = ["year", "month", "day_of_week", "hour", LABEL, "value"]
+    types = F.concat_ws(" ", *[F.typeof(n) for n in names]).alias("types")
+    return stored.select("event_id", *names[:-1], F.col("value").cast("double").alias("value"), types)
+
+
 @query("season")
 def q_season(spark, folder):
     orders = table(spark, folder, "orders")

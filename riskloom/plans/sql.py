@@ -263,6 +263,10 @@ UNION ALL SELECT 'metrics', true, 'metric,value,timestamp', count(*) FROM events
     "calendar": f"SELECT event_id, {_hour_calendar('ts')} FROM events",
     "calendar_local": f"""SELECT o_orderkey, o_orderdate AS t0, {_calendar(_local("o_orderdate"))},
   CAST(hour({_local("o_orderdate")}) AS INTEGER) AS hour_start, {_local("o_orderdate")} AS t0_local FROM orders""",
+    "stored_types": """SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+  CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, CAST(hour(ts) AS INTEGER) AS hour,
+  CAST(value > 50 AS INTEGER) AS "Y_label", CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+  'smallint tinyint tinyint tinyint tinyint float' AS types FROM events""",
     "season": f"SELECT {_season('month(o_orderdate)')} AS season, count(*) AS row_count FROM orders GROUP BY 1",
     "label": """SELECT event_id, CASE WHEN event_id % 13 <> 0 AND floor(value - 10) > 0 THEN 1 ELSE 0 END AS "Y_label"
 FROM events""",
