@@ -1,6 +1,8 @@
 import numpy as np
 
-from riskloom.llm.ann import nearest
+from pyspark.sql import functions as F
+
+from riskloom.llm.ann import build_index, calibrate, distinct_vectors, nearest, sound
 from riskloom.llm.common import table
 from riskloom.llm.queries import QUERIES
 
@@ -39,6 +41,49 @@ def test_recall_and_scores(spark):
     assert all(abs(exact[q, i] - s) < 1e-9 for q, v in got.items() for i, s in v if (q, i) in exact)
 
 
+def clustered(spark, n, seed=3):
+    """Vectors around centres whose number grows with the table, as in a corpus with ever more topics."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 100, 12))
+    vectors = centres[rng.integers(len(centres), size=n)] + 0.25 * rng.normal(size=(n, 12))
+    return spark.createDataFrame([(i, v.tolist(), "", "") for i, v in enumerate(vectors)], SCHEMA)
+
+
+def test_bins_and_comparisons_stay_bounded(spark):
+    """With small constants: ten times the rows, bins of the same size and less than twice the comparisons of a query."""
+    told = {}
+    for n in (3_000, 30_000):
+        groups = distinct_vectors(sound(clustered(spark, n)), 20).cache()
+        index = build_index(groups, leaf_rows=50, sample_rows=400)
+        askers = groups.select(F.col("ids")[0].alias("asked"), "vector").where("asked % 20 = 0")
+        leaves, bins = calibrate(index, askers.orderBy("asked").limit(64), 20, 0.95)
+        reached = index.reach(askers, leaves, bins, 21).join(index.bins, ["leaf", "bin"])
+        assert index.lower is not None and index.bins.agg(F.sum("held")).first()[0] == n
+        assert index.dealt.select(F.explode("ids").alias("i")).distinct().count() == n
+        told[n] = reached.agg(F.sum("held")).first()[0] / askers.count(), index.bins.agg(F.avg("held"), F.max("held")).first()
+        groups.unpersist()
+    print("comparisons a query, average and largest bin", told)
+    assert told[30_000][0] < 2 * told[3_000][0] and told[30_000][1][0] < 100
+
+
+def test_lower_trees_keep_recall(spark):
+    frame = clustered(spark, 12_000)
+    want = brute([(r.vec_id, r.embedding) for r in frame.collect()])
+    got = grouped(nearest(frame, leaf_rows=50, sample_rows=400))
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    found = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
+    print("recall", np.mean(found), min(found))
+    assert np.mean(found) >= 0.9
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).tolist()) for i in range(240)]
+    got = grouped(nearest(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA), recall=1.0))
+    want = brute([r for r in rows if len(r[1]) == 3]) | brute([r for r in rows if len(r[1]) == 5])
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
 def test_ties_copies_and_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(0, 300)] + [(i, rng.normal(size=3).tolist()) for i in range(300, 400)]
