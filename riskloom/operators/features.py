@@ -45,29 +45,35 @@ def select_features(
     a leak prefix and fails on any name containing a leak word.
     Only the schema is read.
     """
+    chosen, offenders = _chosen(df, on_leak, never, categorical)
+    if offenders:
+        raise ValueError(f"possible leakage, forbidden column(s): {offenders}")
+    return chosen
+
+
+def _chosen(
+    df: DataFrame, on_leak: str, never: Iterable[str] = NEVER_FEATURES, categorical: Iterable[str] = CATEGORICAL
+) -> tuple[Features, list[str]]:
+    """The features, and the names that a strict choice refuses."""
     if on_leak not in ("drop", "raise"):
         raise ValueError(f"on_leak must be drop or raise, not {on_leak!r}")
     cats = [c for c in categorical if c in df.columns]
     nums = numeric_columns(df, set(never) | set(cats))
     if on_leak == "drop":
-        return Features([c for c in nums if not leaks(c)], [c for c in cats if not leaks(c)])
+        return Features([c for c in nums if not leaks(c)], [c for c in cats if not leaks(c)]), []
     nums = [c for c in nums if not c.lower().startswith(LEAK_PREFIXES)]
-    offenders = sorted(c for c in cats + nums if any(part in c.lower() for part in LEAK_SUBSTRINGS))
-    if offenders:
-        raise ValueError(f"possible leakage, forbidden column(s): {offenders}")
-    return Features(nums, cats)
+    return Features(nums, cats), sorted(c for c in cats + nums if any(part in c.lower() for part in LEAK_SUBSTRINGS))
 
 
-def feature_table(df: DataFrame) -> DataFrame:
-    """How each column of ``df`` is used, with its share of missing values.
+def feature_table(df: DataFrame, on_leak: str = "drop") -> DataFrame:
+    """How each column of ``df`` is used, with its count of missing values.
 
-    One aggregate over all columns; one row per column.
+    With ``on_leak="raise"`` the columns that would stop a strict choice are
+    ``forbidden``.  One aggregate over all columns; one row per column.
     """
-    chosen = select_features(df)
-    lines = []
-    for name in df.columns:
-        role = "numeric" if name in chosen.numeric else "categorical" if name in chosen.categorical else "dropped"
-        lines.append((name, role))
+    chosen, offenders = _chosen(df, on_leak)
+    roles = {c: "numeric" for c in chosen.numeric} | {c: "categorical" for c in chosen.categorical} | {c: "forbidden" for c in offenders}
+    lines = [(name, roles.get(name, "dropped")) for name in df.columns]
     counts = df.agg(F.count("*").alias("__n"), *[F.count(quoted(n)).alias(n) for n, _ in lines])
     rows = F.array(
         *[

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.timing import add_calendar, anchored_bucket, month_start, week_start
@@ -158,6 +158,12 @@ def evaluate(scored: DataFrame, y: str = LABEL, p: str = "prob") -> DataFrame:
     return scored.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
 
 
+def weighted_sample(train_part: DataFrame, ratio: float, weight_after_sampling: bool = False) -> tuple[DataFrame, Row]:
+    """The undersampled training part, and the class balance that weights it: of the whole part, or of what is left."""
+    sampled = undersample(train_part, ratio, at_least_one=not weight_after_sampling)
+    return sampled, class_balance(sampled if weight_after_sampling else train_part).first()
+
+
 def train(
     grid: DataFrame,
     freq: str,
@@ -176,10 +182,7 @@ def train(
     columns = [KEY, "t0", LABEL, *features.all]
     train_part = materialize(train_part.select(*[F.col(f"`{c}`") for c in columns]))
     try:
-        balance = class_balance(train_part).first()
-        sampled = undersample(train_part, undersample_ratio, at_least_one=not weight_after_sampling)
-        if weight_after_sampling:
-            balance = class_balance(sampled).first()
+        sampled, balance = weighted_sample(train_part, undersample_ratio, weight_after_sampling)
         if kind == "stacked":
             model = fit_stacked(sampled, features, folds=folds, sizes=sizes)
         else:

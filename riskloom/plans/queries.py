@@ -463,6 +463,12 @@ def q_leak_filter(spark, folder):
     return features.feature_table(_leaky_grid(spark, folder))
 
 
+@query("leak_check")
+def q_leak_check(spark, folder):
+    """Strict choice: columns that would stop a training are named, not dropped."""
+    return features.feature_table(_leaky_grid(spark, folder), on_leak="raise")
+
+
 @query("align_features")
 def q_align_features(spark, folder):
     grid = daily_grid(spark, folder, ("o_totalprice",)).withColumn("area_text", F.col(KEY))
@@ -513,6 +519,19 @@ def q_undersample(spark, folder):
     return features.undersample(train, 0.3, order_key=order)
 
 
+@query("class_weights")
+def q_class_weights(spark, folder):
+    """Rows kept for training and the weight of positives, taken before and after the sampling of negatives."""
+    train, out = materialize(_train_part(spark, folder).select(KEY, "t0", LABEL)), None
+    for name, after in (("before", False), ("after", True)):
+        sampled, balance = build.weighted_sample(train, 0.3, after)
+        weight = F.round(F.lit(balance["scale_pos_weight"]) + NUDGE, 6).alias("scale_pos_weight")
+        kept = sampled.agg(F.count_if(F.col(LABEL) == 1).alias("pos"), F.count_if(F.col(LABEL) == 0).alias("neg"))
+        row = kept.select(F.lit(name).alias("weighted"), "pos", "neg", weight)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("impute_median")
 def q_impute_median(spark, folder):
     train = _train_part(spark, folder).select(KEY, "t0", COUNT, "o_totalprice")

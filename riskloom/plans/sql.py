@@ -218,6 +218,11 @@ LEAK_LINES = " UNION ALL ".join(
     f"SELECT '{c.strip(chr(34))}' AS column_name, '{role}' AS role, count(*) - count({c}) AS missing FROM g"
     for c, role in LEAK_ROLES.items()
 )
+# What a strict choice says of the same columns.
+STRICT_LINES = " UNION ALL ".join(
+    f"SELECT '{c.strip(chr(34))}' AS column_name, '{role}' AS role, count(*) - count({c}) AS missing FROM g"
+    for c, role in (LEAK_ROLES | {"my_label_z": "forbidden", "crime_count_lag": "forbidden"}).items()
+)
 VALID_LINES = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(DISTINCT {c}) > 1 AS is_valid FROM t"
     for c in ("year", "month", "hour_start", "o_totalprice", "empty", "crime_count")
@@ -376,6 +381,9 @@ FROM tiered QUALIFY row_number() OVER (PARTITION BY t0 ORDER BY prob DESC, "GEOI
     "leak_filter": f"""WITH {DAY}, {DAY_GRID}, g AS (
   SELECT *, {_calendar("t0")}, o_totalprice AS risk_x, crime_count AS metrics_y, o_totalprice AS my_label_z,
          crime_count AS crime_count_lag, "GEOID" AS area_name FROM grid) {LEAK_LINES}""",
+    "leak_check": f"""WITH {DAY}, {DAY_GRID}, g AS (
+  SELECT *, {_calendar("t0")}, o_totalprice AS risk_x, crime_count AS metrics_y, o_totalprice AS my_label_z,
+         crime_count AS crime_count_lag, "GEOID" AS area_name FROM grid) {STRICT_LINES}""",
     "align_features": f"""WITH {DAY}, {DAY_GRID}
 SELECT "GEOID", t0, round(coalesce(o_totalprice, 0) + 1e-7, 4) AS o_totalprice, 0::DOUBLE AS absent_feature,
   CAST(crime_count AS DOUBLE) AS crime_count, CAST("GEOID" AS DOUBLE) AS area_text FROM grid""",
@@ -397,6 +405,13 @@ SELECT pos, neg, round(rate + 1e-7, 6) AS y1_rate,
          row_number() OVER (PARTITION BY "Y_label" ORDER BY
            substr(md5("GEOID" || '|' || strftime(t0, '%Y-%m-%d') || '|42'), 1, 15), "GEOID", t0) AS r FROM train)
 SELECT "GEOID", t0, "Y_label" FROM ordered WHERE "Y_label" = 1 OR r <= greatest(1, CAST(floor(n * 0.3) AS BIGINT))""",
+    "class_weights": f"""WITH {DAY}, {TRAIN}, ordered AS (
+  SELECT "Y_label", count(*) OVER (PARTITION BY "Y_label") AS n,
+         row_number() OVER (PARTITION BY "Y_label" ORDER BY "GEOID", t0) AS r FROM train),
+t AS (SELECT count(*) FILTER ("Y_label" = 1) AS pos, count(*) FILTER ("Y_label" = 0) AS negatives,
+  count(*) FILTER ("Y_label" = 0 AND r <= greatest(1, CAST(floor(n * 0.3) AS BIGINT))) AS neg FROM ordered)
+SELECT w AS weighted, pos, neg, round(CASE WHEN pos = 0 THEN 1 WHEN w = 'before' THEN negatives / pos ELSE neg / pos END + 1e-7, 6) AS scale_pos_weight
+FROM t, (VALUES ('before'), ('after')) AS v(w)""",
     "impute_median": f"""WITH {DAY}, {TRAIN} SELECT "GEOID", t0, crime_count, {_median_filled("train")} FROM train""",
     "impute_mode": f"""WITH {DAY}, {TRAIN}
 SELECT "GEOID", t0, {_mode_filled("year")}, {_mode_filled("month")}, {_mode_filled("day_of_week")} FROM train""",

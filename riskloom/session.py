@@ -46,7 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            # "local" and "local[8]" are one process; "local-cluster[...]" is a cluster.
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="riskloom-")
         context.setCheckpointDir(folder)
