@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import is_training_row
 
-#: At most about so many labelled rows of each class are used to fit; texts above the length are not.
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 2_000, 4_000, 32_768
+#: At most about so many labelled ids of each class are used to fit; a longer text with a chance that falls with its
+#: length.  Ids that repeat with several texts give so many rows at most.
+FIT_TOXIC, FIT_ORDINARY, FIT_CHARS, FIT_ROWS = 2_000, 4_000, 32_768, 12_000
 FOLDS, HELD = 5, 0
 WINDOW, STEP, LEVEL = 48, 24, 9
 DICTIONARY_BYTES, TOXIC_BYTES, DICTIONARY_ROWS = 65_536, 32_768, 1_000
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = (
         # The sample's bound holds for the broadcast too, so texts are not shuffled.
         docs.where(fits).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-        .select("doc_id", "text", "toxic").distinct().toPandas()
+        .select("doc_id", "text", "toxic").distinct().orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(FIT_ROWS).toPandas()
         .sort_values(["doc_id", "text"], kind="stable")
     )
     return fit_texts(list(rows["text"]), [int(y) for y in rows["toxic"]])

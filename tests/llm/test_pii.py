@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -96,6 +98,54 @@ def test_any_text(text):
         assert new == text
 
 
+def planted(rng):
+    """A value of some kind, valid by a rule of its own or just not, and its kind."""
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    kind, valid = rng.choice([k for k in KINDS if k != "mail"]), rng.random() < 0.6
+    if kind == "card":
+        body = rng.choice("3456") + digits(14)
+        fits = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+        last = [d for d in "0123456789" if fits(body + d) == valid]
+        value = body + rng.choice(last)
+        value = value if rng.random() < 0.5 else "-".join(value[k : k + 4] for k in range(0, 16, 4))
+    elif kind == "iban":
+        rest = digits(18)
+        good = [k for k in range(2, 99) if int(rest + "1314" + f"{k:02d}") % 97 == 1]
+        value = f"DE{rng.choice(good if valid else [k for k in range(2, 99) if k not in good]):02d}{rest}"
+    elif kind == "ip":
+        value = ".".join(str(rng.randint(0, 255)) for _ in range(3)) + f".{rng.randint(0, 255) if valid else rng.randint(256, 999)}"
+    elif kind == "ssn":
+        value = f"{rng.randint(1, 665) if valid else rng.choice([0, 666, 900]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    elif kind == "date":
+        value = f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28) if valid else rng.randint(32, 99):02d}"
+    else:
+        value = f"({rng.randint(200, 999) if valid else rng.randint(0, 199):03d}) {rng.randint(200, 999)}-{digits(4)}"
+    return kind, value, valid
+
+
+def test_planted_values_and_no_others_are_found():
+    """Valid and invalid values among words: the valid ones change, all else stays, and each value has one pseudonym."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    told = {}
+    for _ in range(400):
+        parts, want = [word()], {}
+        for _ in range(rng.randint(0, 6)):
+            kind, value, valid = planted(rng)
+            parts += [(kind, value, valid), word()]
+            if valid:
+                want[kind] = want.get(kind, 0) + 1
+        text = " ".join(p if isinstance(p, str) else p[1] for p in parts)
+        new, counts = pseudonymise(text, KEY)
+        assert counts == want, text
+        pattern = " ".join(re.escape(p if isinstance(p, str) else p[1]) if isinstance(p, str) or not p[2] else "(.+?)" for p in parts)
+        found = re.fullmatch(pattern, new)
+        assert found, (text, new)
+        for (kind, value, _), image in zip([p for p in parts if not isinstance(p, str) and p[2]], found.groups()):
+            assert told.setdefault((kind, value), image) == image and image != value
+    assert {kind for kind, _ in told} == set(KINDS) - {"mail"} and len(set(told.values())) == len(told)
+
+
 def test_rows(spark, data):
     schema = "doc_id long, text string, n_card string"
     rows = [(1, None, ""), (1, None, ""), (None, "", ""), (2, "x " * 100_000 + "4041894974608795", "")]
