@@ -729,12 +729,13 @@ def q_scaled_features(spark, folder):
 
 @query("score_linear")
 def q_score_linear(spark, folder):
-    """Weights are the difference of the classes' means, slot by slot."""
+    """Weights are the difference of the classes' means, slot by slot; NaN, like all scores, if the training part has one class only."""
     train, test = _parts(spark, folder)
     encoder = _encoder(train, ["day"])
     n = counts.class_balance(train).first()
     rows = linear.feature_rows(encoder, train, (KEY, "t0", LABEL))
-    mean = lambda y, total: F.coalesce(F.sum(F.when(F.col(LABEL) == y, F.col("value"))), F.lit(0.0)) / F.lit(total)
+    # An empty class has no mean: NaN, as 0.0 / 0 is in SQL, where Spark stops at a zero divisor.
+    mean = lambda y, total: F.coalesce(F.sum(F.when(F.col(LABEL) == y, F.col("value"))), F.lit(0.0)) / F.lit(total or float("nan"))
     weights = materialize(rows.groupBy("slot").agg((mean(1, n["pos"]) - mean(0, n["neg"])).alias("weight")))
     scored = linear.linear_scores(linear.feature_rows(encoder, test), weights, 0.25, all_keys=test)
     return scored.select(KEY, "t0", F.round(F.col("prob").cast("double") + NUDGE, 5).alias("prob"))

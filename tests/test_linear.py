@@ -1,5 +1,9 @@
+from datetime import datetime, timedelta
+
+import duckdb
 import numpy as np
 import pytest
+from compare import difference
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -8,6 +12,7 @@ from riskloom.operators import linear
 from riskloom.operators.features import Features
 from riskloom.operators.models import RiskModel, preparation
 from riskloom.plans import build
+from riskloom.plans.queries import QUERIES
 
 SCHEMA = "GEOID string, t0 int, Y_label int, x double, z double, year int, month int"
 
@@ -78,6 +83,24 @@ def test_keys_without_features_get_the_intercept(spark):
     assert linear.linear_scores(none, weights, 0.0).collect() == []
 
 
+@pytest.mark.parametrize("days", [range(31, 131), [0, 120]], ids=["no negatives", "no positives"])
+def test_training_part_of_one_class(spark, tmp_path, days):
+    """Every nation has orders each day, or none has before the test part but in a December, which training leaves out."""
+    orders = [(9 * d + n, n, 10.0, datetime(2000, 12, 1) + timedelta(days=d)) for d in days for n in range(3)]
+    tables = {
+        "orders": (orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz"),
+        "customer": ([(n, n) for n in range(3)], "c_custkey long, c_nationkey int"),
+        "lineitem": ([], "l_orderkey long, l_quantity double"),
+    }
+    con = duckdb.connect()
+    for name, (made, schema) in tables.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert difference(spark, con, "score_linear", str(tmp_path)) is None
+    scores = [r.prob for r in QUERIES["score_linear"](spark, str(tmp_path)).collect()]
+    assert scores and all(p is not None and np.isnan(p) for p in scores)
+
+
 def test_outcomes_of_all_frequencies(spark, rows):
     timed = rows.withColumn("t0", F.timestamp_seconds(F.col("t0") * 86_400))
     seen = []
